@@ -22,7 +22,7 @@ NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
 #: A line whose quoted fields all end before a tab or the end.
 WELL_QUOTED = r'^(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)(?:\t(?:"(?:[^"]|"")*"|[^"\t][^\t]*|))*$'
 #: Stand-ins for line breaks inside a line while it passes the CSV reader.
-_BREAKS = {"\r": "", "\n": ""}
+_BREAKS = {"\r": "\ue00d", "\n": "\ue00a"}
 
 
 def _is_integer(x: pa.Array) -> pa.Array:
@@ -81,7 +81,7 @@ def _vcf_cells(c: list[pa.Array]) -> list[np.ndarray]:
 
 
 def _gmt_cells(c: list[pa.Array]) -> list[np.ndarray]:
-    bad = pc.match_substring_regex(c[1], "[\\x00-\\x08\\x0a-\\x1f\\x7f\\x{80}-\\x{9f}\\x{fffd}]")
+    bad = pc.match_substring_regex(c[1], "[\\x00-\\x08\\x0a-\\x1f\\x7f\\x{80}-\\x{9f}\\x{fffd}\\x{e00a}\\x{e00d}]")
     return [_np(pc.equal(c[0], "")), _np(bad)]
 
 
@@ -171,7 +171,7 @@ def _parse(fmt: str, lines: list[str]) -> tuple[list[str | None], list[str | Non
         first = np.where(fails.any(axis=0), fails.argmax(axis=0), -1)
         for p, values, bad in zip(at, zip(*[c.to_pylist() for c in columns]), first.tolist()):
             if p in broken:
-                values = [v.replace("", "\r").replace("", "\n") for v in values]
+                values = [v.replace("\ue00d", "\r").replace("\ue00a", "\n") for v in values]
             if bad >= 0:
                 reason[p], cell[p] = "invalid_value", layout.columns[bad]
             else:
