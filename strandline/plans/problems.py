@@ -81,7 +81,7 @@ def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks = good_records(parsed, "narrowpeak").agg(F.lit("narrowpeak").alias("fmt"), F.count("*").alias("n_good"), F.round(F.sum("signal"), 3).alias("total"), F.sum(F.col("end") - F.col("start")).alias("span"))
     calls = good_records(parsed, "vcf").agg(F.lit("vcf").alias("fmt"), F.count("*").alias("n_good"), F.round(F.sum("qual"), 3).alias("total"), F.sum("pos").alias("span"))
     sets = good_records(parsed, "gmt").agg(F.lit("gmt").alias("fmt"), F.count("*").alias("n_good"), F.lit(None).cast("double").alias("total"), F.sum(F.size("genes")).cast("long").alias("span"))
-    return peaks.unionByName(calls).unionByName(sets)
+    return peaks.unionByName(calls).unionByName(sets).filter("n_good > 0")
 
 
 _NUMBER = r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"
