@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm.encoding import encode_corpus
+from strandline.llm.truncation import truncated
 from strandline.tables import table
 
 
@@ -13,5 +15,26 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncated(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    cut = truncated(documents, key="doc_id", text="text")
+    return (
+        documents.join(cut, "doc_id", "left")
+        .groupBy("source")
+        .agg(
+            F.count("*").alias("n_documents"),
+            F.count("evidence").alias("n_truncated"),
+            F.count(F.when(F.col("evidence") == "copy", 1)).alias("n_by_copy"),
+        )
+        .withColumn("share", F.round(F.col("n_truncated") / F.col("n_documents"), 6))
+    )
+
+
+QUERIES = {"p8_ids": p8_ids, "p10_found": p10_found, "p10_sources": p10_sources}
 SQL = {}
