@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.plans import problems
+from strandline.plans import interval_queries, problems, variant_queries
 
-_MODULES = [problems]
+_MODULES = [problems, variant_queries, interval_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
