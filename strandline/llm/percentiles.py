@@ -40,8 +40,8 @@ def sketch_quantile(q: float) -> Column:
     Of n sorted values it is the mean of those at 1-based places ceil(q n) and
     floor(q n) + 1: the usual median for q = 0.5, and otherwise the value that
     the inverse distribution function gives, averaged where it jumps. (The second
-    place is asked for as a rank one part in 10^9 higher, which the error bound of
+    place is asked for as a rank one part in 10^6 higher, which the error bound of
     the sketch dwarfs where it is more than one place.)
     """
     at = lambda rank: F.kll_sketch_get_quantile_double("sketch", F.lit(float(rank)))
-    return (at(q) + at(min(q + 1e-9, 1.0))) / 2
+    return (at(q) + at(min(q + 1e-6, 1.0))) / 2
