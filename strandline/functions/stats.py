@@ -47,12 +47,20 @@ def ln_choose(n: Column, k: Column) -> Column:
 def hypergeometric_tail(k: Column, marked: Column, drawn: Column, total: Column) -> Column:
     """Chance of at least k marked among ``drawn`` of ``total`` with ``marked`` marked.
 
-    1 for k <= 0, 0 beyond what is possible. Terms that cannot be are left out.
+    1 for k <= 0, 0 beyond what is possible. The first term comes from logarithms,
+    each further one from the one before.
     """
-    top, bottom = F.least(marked, drawn), F.greatest(k, drawn + marked - total)
-    whole = ln_choose(total.cast("double"), drawn.cast("double"))
-    term = lambda i: F.exp(ln_choose(marked.cast("double"), i.cast("double")) + ln_choose((total - marked).cast("double"), (drawn - i).cast("double")) - whole)
-    tail = F.aggregate(F.sequence(bottom, F.greatest(top, bottom)), F.lit(0.0), lambda a, i: a + F.coalesce(term(i), F.lit(0.0)))
+    k, marked, drawn, total = (c.cast("double") for c in (k, marked, drawn, total))
+    top, start = F.least(marked, drawn), F.greatest(k, drawn + marked - total)
+    first = F.exp(ln_choose(marked, start) + ln_choose(total - marked, drawn - start) - ln_choose(total, drawn))
+    ratio = lambda i: (marked - i) * (drawn - i) / ((i + 1.0) * (total - marked - drawn + i + 1.0))
+    more = F.when(start < top, F.sequence(start.cast("int"), (top - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(
+        more,
+        F.struct(first.alias("sum"), first.alias("term")),
+        lambda a, i: F.struct((a["sum"] + a["term"] * ratio(i)).alias("sum"), (a["term"] * ratio(i)).alias("term")),
+        lambda a: a["sum"],
+    )
     return F.when(k <= 0, 1.0).when(k > top, 0.0).otherwise(F.least(tail, F.lit(1.0)))
 
 

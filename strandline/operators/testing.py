@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.stats import normal_two_sided
+from strandline.functions.stats import hypergeometric_tail, normal_two_sided
+from strandline.session import checkpointed
 
 #: Value blocks of an ordering over all rows.
 BLOCKS = 64
@@ -35,7 +36,7 @@ def adjust_p_values(df: DataFrame, *, p: str, family: list[str], out: str = "pad
     largest on, both in value blocks, so one family may be of any size.
     """
     known = df.filter(F.col(p).isNotNull()).groupBy(*family, F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    placed = value_blocks(known, "_p")
+    placed = value_blocks(checkpointed(known), "_p")
     key = _on(family)
     totals = placed.groupBy(*key).agg(F.sum("_n").alias("_sum"))
     before = W.partitionBy(*family).orderBy("_block") if family else W.partitionBy(F.lit(0)).orderBy("_block")
@@ -135,15 +136,13 @@ def over_representation(query: DataFrame, sets: DataFrame, *, set_key: str, gene
     The universe is all genes of all sets; the query counts whole, genes outside of
     the universe too. Sets without a query gene are left out.
     """
-    from strandline.functions.stats import hypergeometric_tail
-
     members = sets.select(set_key, gene).distinct()
     asked = query.select(gene).distinct()
     size = members.groupBy(set_key).agg(F.count("*").alias("set_size"))
     hits = members.join(asked, gene).groupBy(set_key).agg(F.count("*").alias("overlap"))
     constants = members.agg(F.count_distinct(gene).alias("_total")).crossJoin(asked.agg(F.count("*").alias("_drawn")))
     rows = hits.join(size, set_key).crossJoin(constants)
-    scored = rows.withColumn("p", hypergeometric_tail(F.col("overlap"), F.col("set_size"), F.col("_drawn"), F.col("_total"))).drop("_total", "_drawn")
+    scored = checkpointed(rows.withColumn("p", hypergeometric_tail(F.col("overlap"), F.col("set_size"), F.col("_drawn"), F.col("_total"))).drop("_total", "_drawn"))
     return adjust_p_values(scored, p="p", family=[])
 
 
