@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Size of the compactors. The rank error of a quantile is below 0.1 % of the rows
+#: Size of the compactors. The rank error of a quantile is about 0.13 % of the rows
 #: with 99 % probability at 4096 (about 2.296 / k ** 0.9021, one quantile), and a
 #: group of up to k values is exact.
 COMPACTOR = 4096
