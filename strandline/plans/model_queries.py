@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators import cells, models, overlap, reads, testing, variants
+from strandline.operators import cells, graphs, models, overlap, reads, testing, variants
 from strandline.plans.statistics_queries import _ranked_genes, _set_members
 from strandline.plans.views import CALLS, GENES, PEAKS, SEGMENTS, calls, expression, genes, peaks, segments
 from strandline.tables import table
@@ -120,6 +120,23 @@ def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.fuzzy_edges(found, key="vec_id").select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = cells.nearest_neighbours(rows.filter(F.col("vec_id") % 50 == 0), rows, key="vec_id", vector="embedding", k=5)
+    return cells.fuzzy_edges(found, key="vec_id")
+
+
+def label_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moran's I of the vectors' labels over the neighbour edges."""
+    found = graphs.moran_index(_edges(spark, sf_dir), table(spark, sf_dir, "embeddings"), node="vec_id", value="label")
+    return found.select("n_nodes", F.round("moran", 5).alias("moran"))
+
+
+def neighbour_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the neighbour edges."""
+    return graphs.communities(_edges(spark, sf_dir))
+
+
 def segments_over_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes under the segments of each profile: how many, how many bases, by class."""
     placed = genes(spark, sf_dir).select("chrom", F.col("start_pos").alias("gene_start"), F.col("end_pos").alias("gene_end"), "gene_id")
@@ -145,11 +162,19 @@ QUERIES = {
         expression_models,
         set_p_values,
         neighbour_edges,
+        label_autocorrelation,
+        neighbour_communities,
         segments_over_genes,
     )
 }
 _OBSERVED = f"""{CALLS}, observed AS (
   SELECT *, coalesce(CAST(af AS DOUBLE) >= 0.5 AND NOT isnan(af), false) AS is_alt FROM calls WHERE chrom IS NOT NULL AND pos IS NOT NULL AND qual IS NOT NULL AND NOT isnan(qual))"""
+_EDGES_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (
+        SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+      r AS (SELECT *, exp(-distance) AS w FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 5),
+      g AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, coalesce(max(w) FILTER (a < b), 0.0) AS x, coalesce(max(w) FILTER (a > b), 0.0) AS y FROM r GROUP BY ALL),
+      edges AS (SELECT src, dst, x + y - x * y AS weight FROM g)
+"""
 _ODDS = lambda d, a: f"({a} * log10(greatest(0.001, least(0.999, {a} / {d})) / 0.001) + ({d} - {a}) * log10((1 - greatest(0.001, least(0.999, {a} / {d}))) / 0.999))"
 SQL = {
     "site_genotypes": f"""WITH {_OBSERVED}, e AS (SELECT chrom, pos, is_alt, pow(10.0, -greatest(least(CAST(qual AS DOUBLE), 60.0), 1.0) / 10) AS e FROM observed),
@@ -176,11 +201,10 @@ SQL = {
       SELECT user_id, count(*) AS n_events, round(coalesce(sum(a), 0.0), 3) AS area FROM p GROUP BY user_id""",
     "chromosome_spread": f"""WITH {CALLS}, c AS (SELECT sample_id, chrom, count(*) AS n FROM calls WHERE chrom IS NOT NULL GROUP BY sample_id, chrom)
       SELECT sample_id, count(*) AS n_chroms, round(stddev_pop(n) / avg(n), 6) AS variation FROM c GROUP BY sample_id""",
-    "neighbour_edges": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (
-        SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-      r AS (SELECT *, exp(-distance) AS w FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 5),
-      g AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, coalesce(max(w) FILTER (a < b), 0.0) AS x, coalesce(max(w) FILTER (a > b), 0.0) AS y FROM r GROUP BY ALL)
-      SELECT src, dst, round(x + y - x * y, 6) AS weight FROM g""",
+    "neighbour_edges": _EDGES_SQL + "SELECT src, dst, round(weight, 6) AS weight FROM edges",
+    "label_autocorrelation": _EDGES_SQL
+    + """SELECT max(n) AS n_nodes, round(sum(weight * (a.label - m) * (b.label - m)) / (sum(weight) * max(s)), 5) AS moran FROM edges
+      JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst, (SELECT avg(label) AS m, count(label) AS n, var_pop(label) AS s FROM embeddings)""",
     "segments_over_genes": f"""WITH {SEGMENTS}, {GENES}
       SELECT profile_id, cn_class, count(DISTINCT gene_id) AS n_genes, CAST(sum(least(s.end_pos, g.end_pos) - greatest(s.start_pos, g.start_pos)) AS BIGINT) AS shared_bases
       FROM segments s JOIN genes g ON s.chrom = g.chrom AND s.start_pos < g.end_pos AND g.start_pos < s.end_pos GROUP BY profile_id, cn_class""",

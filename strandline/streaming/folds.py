@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from strandline.session import checkpoint_dir
 from strandline.tables import canonical_chrom
@@ -37,6 +38,48 @@ def fold_calls(rows: DataFrame) -> DataFrame:
     )
 
 
+def fold_peaks(rows: DataFrame) -> DataFrame:
+    """Peaks by run: count, bases, narrow ones, highest summit."""
+    width = F.when(F.col("end_pos") > F.col("start_pos"), F.col("end_pos") - F.col("start_pos"))
+    return rows.groupBy("run_id").agg(
+        F.count("*").alias("n_rows"), F.sum(width).alias("n_bases"), F.count(F.when(width < 500, 1)).alias("n_narrow"), F.max("summit_height").alias("best_height")
+    )
+
+
+def fold_segments(rows: DataFrame) -> DataFrame:
+    """Copy-number segments by profile: count, bases, copies times bases."""
+    width = F.when(F.col("end_pos") > F.col("start_pos"), F.col("end_pos") - F.col("start_pos"))
+    return rows.groupBy("profile_id").agg(F.count("*").alias("n_rows"), F.sum(width).alias("n_bases"), F.round(F.sum(F.col("copy_number").cast("double") * width) / 1e6, 3).alias("copy_megabases"))
+
+
+def fold_sites(rows: DataFrame, *, by: list[str], value: str) -> DataFrame:
+    """Methylation-like sites by group: count, sum and square sum of a value, which merge."""
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    return rows.groupBy(*by).agg(F.count(v).alias("n_sites"), F.round(F.sum(v), 3).alias("total"), F.round(F.sum(v * v), 3).alias("squares"))
+
+
+class ProgressLog(StreamingQueryListener):
+    """Rows done and rows a second of every streaming query, by its name or id."""
+
+    def __init__(self) -> None:
+        self.done: dict[str, int] = {}
+        self.rate: dict[str, float] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.done.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        key = str(event.progress.id)
+        self.done[key] = self.done.get(key, 0) + event.progress.numInputRows
+        self.rate[key] = event.progress.processedRowsPerSecond
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def run_available(stream: DataFrame, *, mode: str = "complete") -> DataFrame:
     """All that the stream has now, its final result as a table in the shared folder."""
     spark = stream.sparkSession
