@@ -10,6 +10,8 @@ from strandline.session import shuffle_partitions
 
 #: Bits of one bitmap of Spark's bitmap functions.
 BITS = 32_768
+#: Shards per shuffle partition: enough for even tasks, few enough for dense bitmaps.
+SHARDS_EACH = 4
 
 
 def _shard(ids: list[str], shards: int) -> Column:
@@ -23,7 +25,7 @@ def build_dictionary(df: DataFrame, ids: list[str], *, shards: int | None = None
     ``shards``), known identifiers keep their codes and new ones follow on, so that
     bitmaps of earlier loads stay mergeable with those to come.
     """
-    shards = shards or shuffle_partitions(df.sparkSession)
+    shards = shards or SHARDS_EACH * shuffle_partitions(df.sparkSession)
     known = df.select(*ids).dropna().distinct().withColumn("shard", _shard(ids, shards))
     if existing is None:
         return known.withColumn("code", F.row_number().over(W.partitionBy("shard").orderBy(*ids)) - 1)
@@ -38,7 +40,7 @@ def id_bitmaps(df: DataFrame, *, ids: list[str], dims: list[str], shards: int |
     """Bitmaps of the identifiers seen with each combination of ``dims``.
 
     Identifiers are dictionary-encoded to dense integers, code by code within a
-    shard (a hash of the identifier; one shard a shuffle partition, unless given);
+    shard (a hash of the identifier; four shards a shuffle partition, unless given);
     each run of 32 768 codes is one bucket and each (dims, shard, bucket) one
     bitmap: columns dims, ``shard``, ``bucket``, ``bitmap``. Without a
     ``dictionary``, codes are given on the fly and hold for this result only.
@@ -48,7 +50,7 @@ def id_bitmaps(df: DataFrame, *, ids: list[str], dims: list[str], shards: int |
     left out; nulls in a dimension form a group of their own; repeats change
     nothing; an empty table gives no rows; other columns are ignored.
     """
-    shards = shards or shuffle_partitions(df.sparkSession)
+    shards = shards or SHARDS_EACH * shuffle_partitions(df.sparkSession)
     seen = df.select(*dims, *ids).dropna(subset=ids).distinct()
     if dictionary is None:
         coded = seen.withColumn("shard", _shard(ids, shards)).withColumn("code", F.dense_rank().over(W.partitionBy("shard").orderBy(*ids)) - 1)
