@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import checkpointed
+
 #: Chance at which a pair right at the threshold may be missed by the forest.
 MISS = 1e-5
 #: Depth of the neighbourhoods that are compared. Deeper ones need more trees.
@@ -123,7 +125,7 @@ def similar_sets(df: DataFrame, *, key: str, items: Column | str, threshold: flo
     empty items do not count; records with a null key or no items have no pairs;
     an empty table gives none. Members of one class are pairs of similarity 1.
     """
-    members = set_classes(df, key=key, items=items, own=own)
+    members = checkpointed(set_classes(df, key=key, items=items, own=own))
     between = similar_classes(members, threshold=threshold, **forest)
     within = members.groupBy("_class").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("_class").alias("class_a"), F.col("_class").alias("class_b"), F.lit(1.0).alias("similarity"))
     slim = members.select("_key", "_class", "_own")
