@@ -18,7 +18,7 @@ def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", left_s
     """Pairs of half-open intervals that overlap, each once.
 
     ``left_span`` and ``right_span`` name start and end; a point p is (p, p + 1).
-    Columns must differ except ``on``. ``how`` is inner, left or left_anti.
+    Columns must differ except ``on``. ``how`` is inner or left_anti.
     """
     (ls, le), (rs, re) = left_span, right_span
     bins = lambda s, e: F.sequence(F.floor(F.col(s) / bin_width), F.floor((F.col(e) - 1) / bin_width))
@@ -28,12 +28,12 @@ def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", left_s
     a = left.withColumn("_lb", F.explode(bins(ls, le)))
     if how == "inner":
         return a.join(b, meets(once)).drop("_on", "_lb", "_rb")
-    # Where all bins of a left row must agree, it is known by a number of its own.
-    keyed = left.withColumn("_id", F.xxhash64(*[F.col(c) for c in left.columns]))
-    hits = keyed.withColumn("_lb", F.explode(bins(ls, le))).join(b, meets(F.lit(True)), "left_semi").select("_id").distinct()
-    if how == "left_anti":
-        return keyed.join(hits, "_id", "left_anti").drop("_id")
-    raise ValueError(how)
+    if how != "left_anti":
+        raise ValueError(how)
+    # A left row must miss in all of its bins.
+    hits = a.join(b, meets(F.lit(True)), "left_semi").select(*left.columns).distinct()
+    same = [left[c].eqNullSafe(hits[c]) for c in left.columns]
+    return left.join(hits, same, "left_anti")
 
 
 def spans_with_margin(df: DataFrame, *, position: str, margin: int, block_width: int = BLOCK_WIDTH) -> DataFrame:
