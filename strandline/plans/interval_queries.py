@@ -18,7 +18,7 @@ def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = calls(spark, sf_dir).filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull())
+    rows = calls(spark, sf_dir, "chrom", "pos", "cohort", "sample_id").filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull())
     return rows.select("record_id", "cohort", "sample_id", "chrom", "pos", (F.col("pos") + 1).alias("pos_end"))
 
 
@@ -103,7 +103,7 @@ def call_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frequency_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five calls in a row of a sample with mostly high or mostly low frequencies."""
     af = F.col("af").cast("double")
-    rows = calls(spark, sf_dir).filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull() & ~F.isnan(af))
+    rows = calls(spark, sf_dir, "chrom", "pos", "af", "sample_id").filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull() & ~F.isnan(af))
     return O.sliding_regions(rows, entity=["sample_id", "chrom"], order=["pos", "record_id"], value=af * 100)
 
 

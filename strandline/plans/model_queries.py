@@ -14,7 +14,7 @@ from strandline.tables import table
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of single bases as observations of their site."""
-    rows = calls(spark, sf_dir).filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull() & F.col("qual").isNotNull() & ~F.isnan("qual"))
+    rows = calls(spark, sf_dir, "chrom", "pos", "panel", "qual", "af").filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull() & F.col("qual").isNotNull() & ~F.isnan("qual"))
     return rows.withColumn("is_alt", F.coalesce(F.col("af").cast("double") >= 0.5, F.lit(False)) & ~F.isnan(F.coalesce(F.col("af").cast("double"), F.lit(0.0))))
 
 
@@ -35,7 +35,7 @@ def tumour_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gene_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of each gene name: calls, copies, intervals; from any of the three."""
-    called = calls(spark, sf_dir).filter(F.col("gene") != "").groupBy("gene").agg(F.count("*").alias("n_calls"))
+    called = calls(spark, sf_dir, "gene").filter(F.col("gene") != "").groupBy("gene").agg(F.count("*").alias("n_calls"))
     copies = segments(spark, sf_dir).filter(F.col("gene") != "").groupBy("gene").agg(F.count("*").alias("n_segments"), F.round(F.avg(F.col("copy_number").cast("double")), 5).alias("copies"))
     placed = genes(spark, sf_dir).filter(F.col("gene_name") != "").groupBy(F.col("gene_name").alias("gene")).agg(F.count("*").alias("n_intervals"))
     joined = called.join(copies, "gene", "full_outer").join(placed, "gene", "full_outer")
@@ -48,7 +48,7 @@ def gene_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calls_at_gene_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each gene interval, the first call within one base of its start."""
     starts = genes(spark, sf_dir).select("interval_id", "chrom", F.explode(F.array(*[F.col("start_pos") + d for d in (-1, 0, 1)])).alias("pos"))
-    found = starts.join(calls(spark, sf_dir).select("chrom", "pos", "record_id"), ["chrom", "pos"])
+    found = starts.join(calls(spark, sf_dir, "chrom", "pos").select("chrom", "pos", "record_id"), ["chrom", "pos"])
     return found.groupBy("interval_id").agg(F.min(F.struct("pos", "record_id")).alias("_x")).select("interval_id", F.col("_x.pos").alias("pos"), F.col("_x.record_id").alias("record_id"))
 
 
@@ -70,18 +70,18 @@ def value_under_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chromosome_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How unevenly the calls of each sample lie over chromosomes (population deviation over mean)."""
-    counts = calls(spark, sf_dir).filter(F.col("chrom").isNotNull()).groupBy("sample_id", "chrom").agg(F.count("*").alias("n"))
+    counts = calls(spark, sf_dir, "chrom", "sample_id").filter(F.col("chrom").isNotNull()).groupBy("sample_id", "chrom").agg(F.count("*").alias("n"))
     return counts.groupBy("sample_id").agg(F.count("*").alias("n_chroms"), F.round(F.stddev_pop("n") / F.avg("n"), 6).alias("variation"))
 
 
 def approximate_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct called positions by a mergeable sketch, per cohort (about 0.8 % off)."""
-    return variants.approx_sites(calls(spark, sf_dir), ["cohort"])
+    return variants.approx_sites(calls(spark, sf_dir, "chrom", "pos", "cohort"), ["cohort"])
 
 
 def spectrum_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples' substitution spectra as mixtures of the panels' spectra."""
-    rows = calls(spark, sf_dir)
+    rows = calls(spark, sf_dir, "ref_allele", "alt_allele", "sample_id", "panel")
     samples, panels = variants.substitution_spectrum(rows, ["sample_id"]), variants.substitution_spectrum(rows, ["panel"])
     found = models.exposures(samples.filter(F.col("sample_id").isNotNull()), panels.filter(F.col("panel").isNotNull()), sample="sample_id", signature="panel")
     return found.select("sample_id", F.col("signature").alias("panel"), F.round("weight", 6).alias("weight"), F.round("cosine", 6).alias("cosine"))

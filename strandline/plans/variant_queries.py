@@ -24,64 +24,64 @@ _COUNTS_SQL = """count(*) AS n_calls, count(*) FILTER (kind IN ('Transition', 'T
 
 def variant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All calls in one row."""
-    rows = calls(spark, sf_dir)
+    rows = calls(spark, sf_dir, "ref_allele", "alt_allele", "qual", "chrom", "pos", "gene")
     return V.summarize_variants(rows, []).crossJoin(V.distinct_sites(rows, []))
 
 
 def variant_summary_by_chrom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls by chromosome."""
-    return V.summarize_variants(calls(spark, sf_dir), ["chrom"])
+    return V.summarize_variants(calls(spark, sf_dir, "ref_allele", "alt_allele", "qual", "chrom"), ["chrom"])
 
 
 def variant_summary_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls by sample and cohort."""
-    return V.summarize_variants(calls(spark, sf_dir), ["cohort", "sample_id"])
+    return V.summarize_variants(calls(spark, sf_dir, "ref_allele", "alt_allele", "qual", "cohort", "sample_id"), ["cohort", "sample_id"])
 
 
 def variant_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls by the class of their alleles."""
-    return calls(spark, sf_dir).groupBy(V.variant_class(F.col("ref_allele"), F.col("alt_allele")).alias("kind")).agg(F.count("*").alias("n_calls"))
+    return calls(spark, sf_dir, "ref_allele", "alt_allele").groupBy(V.variant_class(F.col("ref_allele"), F.col("alt_allele")).alias("kind")).agg(F.count("*").alias("n_calls"))
 
 
 def allele_frequency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty bins of allele frequency, by cohort."""
-    return V.af_histogram(calls(spark, sf_dir), ["cohort"])
+    return V.af_histogram(calls(spark, sf_dir, "af", "cohort"), ["cohort"])
 
 
 def high_quality_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred genes with the most calls above quality 30."""
-    high = calls(spark, sf_dir).filter((F.col("qual") > 30) & (F.col("gene") != ""))
+    high = calls(spark, sf_dir, "qual", "gene").filter((F.col("qual") > 30) & (F.col("gene") != ""))
     return high.groupBy("gene").agg(F.count("*").alias("n_calls")).orderBy(F.desc("n_calls"), "gene").limit(100)
 
 
 def instability_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indel-based instability scores of each sample."""
-    return V.instability_scores(calls(spark, sf_dir), ["sample_id"])
+    return V.instability_scores(calls(spark, sf_dir, "ref_allele", "alt_allele", "sample_id"), ["sample_id"])
 
 
 def burden_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls per megabase over an exome of 35 megabases."""
-    return V.mutation_burden(calls(spark, sf_dir), ["sample_id"], megabases=35.0)
+    return V.mutation_burden(calls(spark, sf_dir, "sample_id"), ["sample_id"], megabases=35.0)
 
 
 def imbalance_by_chrom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of heterozygosity by cohort and chromosome."""
-    return V.allelic_imbalance(calls(spark, sf_dir), ["cohort", "chrom"])
+    return V.allelic_imbalance(calls(spark, sf_dir, "af", "cohort", "chrom"), ["cohort", "chrom"])
 
 
 def purity_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumour purity of each sample."""
-    return V.tumor_purity(calls(spark, sf_dir), ["sample_id"])
+    return V.tumor_purity(calls(spark, sf_dir, "af", "sample_id"), ["sample_id"])
 
 
 def substitution_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-channel spectrum by cohort."""
-    return V.substitution_spectrum(calls(spark, sf_dir), ["cohort"])
+    return V.substitution_spectrum(calls(spark, sf_dir, "ref_allele", "alt_allele", "cohort"), ["cohort"])
 
 
 def case_control_by_chrom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of calls on each chromosome, cases against controls."""
-    rows = calls(spark, sf_dir).filter(F.col("chrom").isNotNull())
+    rows = calls(spark, sf_dir, "chrom", "cohort").filter(F.col("chrom").isNotNull())
     sides = rows.groupBy("chrom").agg(*[F.count(F.when(F.col("cohort") == s, 1)).alias(f"n_{s}") for s in ("case", "control")])
     total = rows.agg(*[F.count(F.when(F.col("cohort") == s, 1)).alias(f"_{s}") for s in ("case", "control")])
     delta = F.round(F.col("n_case") / F.col("_case") - F.col("n_control") / F.col("_control"), 6)
@@ -90,7 +90,7 @@ def case_control_by_chrom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gained_and_lost_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most called genes of cases and of controls: gained, lost, shared."""
-    rows = calls(spark, sf_dir).filter(F.col("gene") != "")
+    rows = calls(spark, sf_dir, "gene", "cohort").filter(F.col("gene") != "")
     top = lambda side: rows.filter(F.col("cohort") == side).groupBy("gene").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "gene").limit(100).select("gene")
     both = top("case").withColumn("_a", F.lit(True)).join(top("control").withColumn("_b", F.lit(True)), "gene", "full_outer")
     return both.select("gene", F.when(F.col("_b").isNull(), "gained").when(F.col("_a").isNull(), "lost").otherwise("shared").alias("change"))
@@ -98,7 +98,7 @@ def gained_and_lost_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tumor_against_germline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites called in the tumour and the germline panel alike: calls and mean frequencies."""
-    rows = calls(spark, sf_dir).filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull())
+    rows = calls(spark, sf_dir, "chrom", "pos", "panel", "af").filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull())
     site = lambda panel, name: (
         rows.filter(F.col("panel") == panel).groupBy("chrom", "pos").agg(F.count("*").alias(f"n_{name}"), F.round(F.avg(F.nanvl(F.col("af").cast("double"), F.lit(None).cast("double"))), 5).alias(f"af_{name}"))
     )

@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from strandline.tables import canonical_chrom, canonical_chrom_sql, table
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variant calls, each once, chromosomes in their canonical form."""
-    return (
-        table(spark, sf_dir, "variants")
-        .select(
-            "record_id", "sample_id", "cohort", "panel", canonical_chrom("chrom").alias("chrom"), "pos", "ref_allele", "alt_allele", "qual", "af", "gene", "called_at"
-        )
-        .distinct()
-    )
+def calls(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Variant calls, each once, chromosomes in their canonical form.
+
+    With ``columns`` only these and the record's number are read and compared.
+    """
+    names = columns or ("sample_id", "cohort", "panel", "chrom", "pos", "ref_allele", "alt_allele", "qual", "af", "gene", "called_at")
+    picked = [canonical_chrom("chrom").alias("chrom") if c == "chrom" else F.col(c) for c in names]
+    return table(spark, sf_dir, "variants").select("record_id", *picked).distinct()
 
 
 CALLS = f"""calls AS (
