@@ -137,3 +137,21 @@ def test_alignment():
     assert aligned_end("One two three four five. Six seven […]", whole) == "cut"
     assert aligned_end("One two three four five. Six seven eight nine ten.", whole) == "whole"
     assert aligned_end("Nothing of the kind is in there at all", whole) is None
+
+
+def test_near_copies_count_whichever_is_longer(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ta", "re", "mo", "li", "su", "ka") for b in ("nel", "vor", "dis", "pam", "gut")]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, expected = [], set()
+    for i in range(6):
+        body, close = make(130), make(8)
+        # The true copy is the shorter one: it lacks the preface, but goes on.
+        rows += [(10 * i, f"{make(14)}\n{body} signal"), (10 * i + 1, f"{body} signal {close}.")]
+        # The longest of the bucket shows nothing (it ends there too); another one does.
+        more = make(120)
+        rows += [(10 * i + 2, f"{more} tower"), (10 * i + 3, f"{more} tower {make(3)}."), (10 * i + 4, f"{make(12)}\n{more} tower"), (10 * i + 5, f"{more} tower")]
+        expected |= {10 * i, 10 * i + 2, 10 * i + 4, 10 * i + 5}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.evidence for r in truncated(df, key="doc_id", text="text").collect()}
+    assert {k for k, e in got.items() if e == "copy"} == expected
