@@ -155,3 +155,18 @@ def test_near_copies_count_whichever_is_longer(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.evidence for r in truncated(df, key="doc_id", text="text").collect()}
     assert {k for k, e in got.items() if e == "copy"} == expected
+
+
+def test_endings_are_judged_by_shares(spark):
+    rng = random.Random(6)
+    nouns, common = ["panel", "signal", "bridge", "record"], ["garden", "library", "sample"]
+    sentence = lambda close: f"The {rng.choice(nouns)} covers the {close}."
+    rows = [(i, " ".join(sentence(rng.choice(common)) for _ in range(20))) for i in range(300)]
+    # One complete unit of six thousand closes so: by chance, not by habit.
+    rows += [(400, sentence("garde") + " " + sentence("sample")), (401, sentence("library") + " The panel covers the garde")]
+    footer = "This site stores small files on your device to keep your settings and to count visits. Read on for our terms of use"
+    rows += [(500 + i, f"Page {i}. {sentence('garden')}\n{footer.replace('. Read', ', read')}") for i in range(30)]
+    # Whether kanji are masked is settled by the unit, not by the text around it.
+    rows += [(600 + i, f"{rows[i][1]}\n会社案内\n{sentence('library')}") for i in range(10)] + [(700, f"{rows[20][1]} And on.\n会社案内")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in truncated(df, key="doc_id", text="text").collect()} == {401}
