@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.stats import hypergeometric_tail, normal_two_sided
-from strandline.session import checkpointed
+from strandline.session import checkpointed, shuffle_partitions
 
 #: Value blocks of an ordering over all rows.
 BLOCKS = 64
@@ -146,6 +146,17 @@ def over_representation(query: DataFrame, sets: DataFrame, *, set_key: str, gene
     return adjust_p_values(scored, p="p", family=[])
 
 
+def ranked_all(df: DataFrame, *, score: str, key: str) -> DataFrame:
+    """All rows with their ``rank`` from 1, highest score first, ties by ``key``: counted
+    inside equal ranges of the order, after the sizes of the ranges before."""
+    ordered = df.repartitionByRange(shuffle_partitions(df.sparkSession), F.desc(score), F.col(key))
+    placed = checkpointed(ordered.withColumn("_block", F.spark_partition_id()))
+    before = W.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = placed.groupBy("_block").agg(F.count("*").alias("_size")).select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_block").orderBy(F.desc(score), key)
+    return placed.join(offsets, "_block").withColumn("rank", F.col("_before") + F.row_number().over(inside)).drop("_block", "_before")
+
+
 def enrichment_scores(ranked: DataFrame, sets: DataFrame, *, set_key: str, gene: str = "gene", rank: str = "rank") -> DataFrame:
     """Running-sum enrichment score of each set along a ranking (ranks from 1).
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators import cells, graphs, models, overlap, reads, testing, variants
-from strandline.plans.statistics_queries import _ranked_genes, _set_members
+from strandline.plans.statistics_queries import _called_genes, _set_members
 from strandline.plans.views import CALLS, GENES, PEAKS, SEGMENTS, calls, expression, genes, peaks, segments
 from strandline.tables import table
 
@@ -105,9 +105,10 @@ def expression_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enrichment scores of the reference sets with permutation p-values."""
-    scored = testing.enrichment_scores(_ranked_genes(spark, sf_dir), _set_members(spark, sf_dir), set_key="set_key")
-    tested = models.permutation_p_values(scored, set_key="set_key", size="n_hits", score="es", n_ranked=1000, permutations=500)
+    """Enrichment scores of the reference sets along all called genes, with permutation p-values."""
+    ranked = testing.ranked_all(_called_genes(spark, sf_dir), score="n", key="gene")
+    scored = testing.enrichment_scores(ranked, _set_members(spark, sf_dir), set_key="set_key")
+    tested = models.permutation_p_values(scored, set_key="set_key", size="n_hits", score="es", n_ranked=ranked.count(), permutations=500)
     return testing.adjust_p_values(tested.select("set_key", "n_hits", "es", "nes", "p"), p="p", family=[]).select(
         "set_key", "n_hits", F.round("es", 5).alias("es"), F.round("nes", 5).alias("nes"), F.round("p", 6).alias("p"), F.round("padj", 6).alias("padj")
     )

@@ -82,12 +82,15 @@ def _set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("set_key", F.upper(F.trim("g")).alias("gene")).filter(F.col("gene") != "").distinct()
 
 
+def _called_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls(spark, sf_dir, "gene").filter(F.col("gene") != "").groupBy(F.upper("gene").alias("gene")).agg(F.count("*").alias("n"))
+
+
 def _ranked_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thousand most called genes, with their rank."""
     from pyspark.sql import Window as W
 
-    counted = calls(spark, sf_dir, "gene").filter(F.col("gene") != "").groupBy(F.upper("gene").alias("gene")).agg(F.count("*").alias("n"))
-    top = counted.orderBy(F.desc("n"), "gene").limit(1000)
+    top = _called_genes(spark, sf_dir).orderBy(F.desc("n"), "gene").limit(1000)
     return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "gene")))
 
 

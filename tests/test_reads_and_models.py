@@ -95,6 +95,18 @@ def test_count_models(spark):
     assert got["up"].wald > 20 and got["none"].wald is None or math.isnan(got["none"].wald)
 
 
+def test_set_p_values_use_the_whole_ranking(spark, monkeypatch):
+    from strandline.plans import model_queries as Q
+
+    genes = spark.range(1500).select(F.format_string("G%04d", "id").alias("gene"), (F.lit(2000) - F.col("id")).alias("n"))
+    monkeypatch.setattr("strandline.plans.statistics_queries.calls", lambda *_: genes.select("gene", F.explode(F.sequence(F.lit(1), F.when(F.col("n") > 1990, 2).otherwise(1)))))
+    members = genes.filter("gene >= 'G1480'").select(F.lit("low").alias("set_key"), "gene")
+    monkeypatch.setattr(Q, "_set_members", lambda *_: members)
+    (got,) = Q.set_p_values(spark, "").collect()
+    # The last twenty of 1500 genes: a low beyond the thousandth rank.
+    assert got.n_hits == 20 and got.es == pytest.approx(-math.sqrt(20 * 1480), abs=1e-4) and got.p == pytest.approx(1 / 501, abs=1e-6)
+
+
 def test_permutation_p_values(spark):
     scores = spark.createDataFrame([("strong", 10, 25.0), ("weak", 10, 1.0), ("empty", 0, 0.0)], "k string, n long, es double")
     got = {r.k: r for r in models.permutation_p_values(scores, set_key="k", size="n", score="es", n_ranked=100, permutations=200).collect()}
