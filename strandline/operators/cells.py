@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a block of the nearest-neighbour grid.
+BLOCK_ROWS = 20_000
+
 
 def cell_quality(counts: DataFrame, *, cell: str, feature: str, n: str, marked: Column, below: float = 3.0, above: float = 5.0, most_marked: float = 20.0) -> DataFrame:
     """Features, total and marked percentage of each cell, and whether it passes.
@@ -65,16 +68,21 @@ def cluster_profiles(values: DataFrame, *, cluster: str, cell: str, feature: str
     return sums.join(size, cluster).select(cluster, feature, (F.col("_s") / F.col("_size")).alias("mean"), (F.col("_n") / F.col("_size")).alias("part"))
 
 
-def nearest_neighbours(queries: DataFrame, rows: DataFrame, *, key: str, vector: str, k: int, grid: int = 8) -> DataFrame:
+def nearest_neighbours(queries: DataFrame, rows: DataFrame, *, key: str, vector: str, k: int, grid: int | None = None) -> DataFrame:
     """The exact k nearest rows (Euclidean) of each query, itself left out.
 
-    Queries and rows are cut into ``grid`` blocks each; every pair of blocks is one
-    matrix product in its own task, of which the k nearest a query go on to the final
-    ranking. Ties go by key. Vectors that are null or of another length are left out.
-    Result: ``key``, ``neighbour``, ``rank``, ``distance``.
+    Queries and rows are cut into ``grid`` blocks each (by default sized to the rows);
+    every pair of blocks is one matrix product in its own task, of which the k nearest
+    a query go on to the final ranking. Ties go by key, however many there are. Vectors
+    that are null or not of the rows' most frequent length (of equally frequent ones the
+    least) are left out. Result: ``key``, ``neighbour``, ``rank``, ``distance``.
     """
+    lengths = rows.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("_l")).agg(F.count("*").alias("_n"))
+    n_rows, width = lengths.agg(F.sum("_n"), F.max_by("_l", F.struct("_n", -F.col("_l")))).first()
+    if grid is None:
+        grid = max(8, -(-(n_rows or 0) // BLOCK_ROWS))
     kind = rows.schema[key].dataType.simpleString()
-    block = lambda df, own, other: df.filter(F.col(vector).isNotNull()).select(
+    block = lambda df, own, other: df.filter(F.size(vector) == F.lit(width)).select(
         F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(key), F.lit(grid)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias(other)
     )
     left, right = block(queries, "_a", "_b"), block(rows, "_b", "_a")
@@ -83,23 +91,23 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, *, key: str, vector:
         empty = pd.DataFrame({"query": a["_key"][:0], "neighbour": a["_key"][:0], "distance": np.zeros(0)})
         if not len(a) or not len(b):
             return empty
-        width = a["_v"].map(len).mode().iloc[0]
-        a, b = a[a["_v"].map(len) == width], b[b["_v"].map(len) == width]
-        if not len(b):
-            return empty
         x, y = np.stack(a["_v"].to_list()), np.stack(b["_v"].to_list())
         keys = b["_key"].to_numpy()
         out = []
         for start in range(0, len(x), 256):
             part = x[start : start + 256]
-            near = (part * part).sum(1)[:, None] - 2 * part @ y.T + (y * y).sum(1)
-            top = min(k + 8, len(keys))
-            best = np.argpartition(near, top - 1, axis=1)[:, :top]
-            for i, choice in enumerate(best):
+            own, other = (part * part).sum(1)[:, None], (y * y).sum(1)
+            near = own - 2 * part @ y.T + other
+            # One more than k, as the query itself may be among them, and the product's rounding.
+            top = min(k + 1, len(keys))
+            margin = 8 * (part.shape[1] + 4) * np.finfo(float).eps * (own[:, 0] + other.max())
+            bound = np.partition(near, top - 1, axis=1)[:, top - 1] + margin
+            for i, query in enumerate(a["_key"].iloc[start : start + 256]):
+                choice = np.flatnonzero(~(near[i] > bound[i]) & (keys != query))
                 exact = np.sqrt(((part[i] - y[choice]) ** 2).sum(1))
-                out.append(pd.DataFrame({"query": a["_key"].iloc[start + i], "neighbour": keys[choice], "distance": exact}))
-        found = pd.concat(out)
-        return found[found["query"] != found["neighbour"]]
+                first = np.lexsort((keys[choice], exact))[:k]
+                out.append(pd.DataFrame({"query": query, "neighbour": keys[choice[first]], "distance": exact[first]}))
+        return pd.concat(out)
 
     found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(pairs, f"query {kind}, neighbour {kind}, distance double")
     order = W.partitionBy("query").orderBy("distance", "neighbour")

@@ -126,6 +126,18 @@ def test_neighbours_of_any_grid(spark):
     assert edges.filter("src >= dst or weight <= 0 or weight > 1").count() == 0
 
 
+def test_equally_near_rows_go_by_key_and_lengths_by_table(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(i, [5.0, 5.0 + i]) for i in range(400, 420)]
+    rows += [(i, [0.0]) for i in range(1000, 1300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").orderBy(F.desc("id"))
+    queries = df.filter("id in (7, 399, 405) or id >= 1295")
+    for grid in (1, 3, None):
+        got = {}
+        for r in cells.nearest_neighbours(queries, df, key="id", vector="v", k=5, grid=grid).orderBy("id", "rank").collect():
+            got.setdefault(r.id, []).append(r.neighbour)
+        assert got == {7: [0, 1, 2, 3, 4], 399: [0, 1, 2, 3, 4], 405: [404, 406, 403, 407, 402]}
+
+
 def test_stream_and_batch_agree(spark):
     batch = fold_calls(table(spark, str(DATA), "variants"))
     stream = run_available(fold_calls(stream_table(spark, str(DATA), "variants")))
