@@ -134,8 +134,10 @@ def label_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the neighbour edges."""
-    return graphs.communities(_edges(spark, sf_dir))
+    """Communities of all vectors, by the edges between each and its five nearest."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = cells.nearest_neighbours(rows, rows, key="vec_id", vector="embedding", k=5)
+    return graphs.communities(cells.fuzzy_edges(found, key="vec_id"))
 
 
 def segments_over_genes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,14 @@ def test_moran_index(spark):
     assert row.n_nodes == 10 and row.moran == pytest.approx(want) and row.moran > 0.3
 
 
+def test_communities_cover_all_vectors(spark):
+    from strandline.plans.model_queries import neighbour_communities
+
+    nodes = neighbour_communities(spark, str(DATA)).select("node")
+    vectors = table(spark, str(DATA), "embeddings").select("vec_id")
+    assert nodes.exceptAll(vectors).isEmpty() and vectors.exceptAll(nodes).isEmpty()
+
+
 def test_communities(spark):
     clique = lambda nodes: [(a, b, 1.0) for a in nodes for b in nodes if a < b]
     edges = clique(range(5)) + clique(range(10, 15)) + [(4, 10, 0.1), (7, 7, 1.0)]
