@@ -82,9 +82,9 @@ def set_classes(df: DataFrame, *, key: str, items: Column | str, own: Column | N
 def similar_classes(members: DataFrame, *, threshold: float, depth: int = DEPTH, trees: int | None = None, seed: int = 7) -> DataFrame:
     """Pairs of different classes with Jaccard similarity of at least ``threshold``.
 
-    Of the result of :func:`set_classes`. A forest of sorted sketches: in each of
-    many independent trees, classes are ordered by their minhash signature, and
-    those with a common prefix of ``depth`` are compared; the number of trees is
+    Of the result of :func:`set_classes`. Minhash banding: in each of many
+    independent trees, classes whose signatures have the same first ``depth``
+    values are compared; the number of trees is
     what :func:`trees_needed` gives for the target recall. Equal sets are one
     class and never meet in a tree, so copies make no hot prefix; only sizes that
     allow the threshold are paired; all candidates are verified on the items
