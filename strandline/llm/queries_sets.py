@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.setjoin import similar_sets
+from strandline.llm.setjoin import set_links, similar_sets
 from strandline.tables import table
 
 THRESHOLD = 0.7
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sets(spark: SparkSession, sf_dir: str) -> dict:
     own = table(spark, sf_dir, "gene_sets").select("set_key", "genes", F.lit(True).alias("own"))
     reference = table(spark, sf_dir, "ref_gene_sets").select("set_key", "genes", F.lit(False).alias("own"))
-    return similar_sets(own.unionByName(reference), key="set_key", items="genes", threshold=THRESHOLD, own=F.col("own"))
+    return {"df": own.unionByName(reference), "key": "set_key", "items": "genes", "threshold": THRESHOLD, "own": F.col("own")}
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of gene sets that share most of their genes."""
-    return _pairs(spark, sf_dir).select("key_a", "key_b")
+    return similar_sets(**_sets(spark, sf_dir)).select("key_a", "key_b")
 
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many similar sets each gene set has, and how near the nearest is."""
-    pairs = _pairs(spark, sf_dir)
-    both = pairs.select(F.explode(F.array("key_a", "key_b")).alias("set_key"), "similarity")
-    return both.groupBy("set_key").agg(F.count("*").alias("n_links"), F.round(F.max("similarity"), 6).alias("nearest"))
+    return set_links(**_sets(spark, sf_dir)).withColumn("nearest", F.round("nearest", 6))
 
 
 _PAIRS_SQL = """

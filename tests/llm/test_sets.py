@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.llm.setjoin import set_classes, similar_sets, trees_needed
+from strandline.llm.setjoin import set_classes, set_links, similar_sets, trees_needed
 
 
 def test_trees_meet_the_recall():
@@ -45,3 +45,19 @@ def test_classes_and_empty_table(spark):
     df = spark.createDataFrame([("b", ["X"]), ("a", ["x "]), ("c", ["y"]), (None, ["x"])], "k string, items array<string>")
     assert {r._key: r._class for r in set_classes(df, key="k", items="items").collect()} == {"a": "a", "b": "a", "c": "c"}
     assert similar_sets(df.limit(0), key="k", items="items", threshold=0.7).count() == 0
+
+
+def test_a_hot_prefix_deepens_and_loses_nothing(spark):
+    """Nearly all sets share most of their items, so early prefixes and whole neighbourhoods are hot."""
+    rng = random.Random(3)
+    core = [f"c{i}" for i in range(12)]
+    sets = [core + [f"x{i}", f"y{i % 7}"][: rng.randint(1, 2)] for i in range(160)] + [core[:6] + rng.sample([f"z{j}" for j in range(90)], 8) for _ in range(200)]
+    df = spark.createDataFrame([(f"k{i:03d}", s) for i, s in enumerate(sets)], "k string, items array<string>")
+    keys = {f"k{i:03d}": {x.upper() for x in s} for i, s in enumerate(sets)}
+    names = sorted(keys)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if len(keys[a] & keys[b]) >= 0.7 * len(keys[a] | keys[b])}
+    for spread in (4096, 20):
+        got = similar_sets(df, key="k", items="items", threshold=0.7, spread=spread).collect()
+        assert len(got) == len(want) and {(r.key_a, r.key_b) for r in got} == want
+    links = {r.k: r.n_links for r in set_links(df, key="k", items="items", threshold=0.7).collect()}
+    assert links == {k: n for k in names if (n := sum(k in p for p in want))}
