@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
-from strandline.operators.fields import _readings, segment_fields
+from strandline.operators.fields import GAP, expected, lattice, likeliest, segment_fields, slots
 from strandline.operators.intervals import periods_and_gaps
 from strandline.operators.loading import good_records, parse_lines, rejected_lines
 
@@ -40,14 +41,58 @@ def test_periods_of_clashing_names_and_empty_table(spark):
     assert periods_and_gaps(df.limit(0), entity=["_b"], start="_s", end="_f").count() == 0
 
 
+def _readings(text):
+    """All readings of a lattice, by brute force: the edges of every path."""
+    start, end, kind, held = lattice(text)
+    paths = [[]]
+    done = []
+    while paths:
+        path = paths.pop()
+        at = end[path[-1]] if path else 0
+        if at == len(text):
+            done.append(path)
+        paths += [[*path, i] for i in range(len(start)) if start[i] == at and at < len(text)]
+    return [slots([kind[i] for i in p], [held[i] for i in p]) for p in done], done
+
+
+def _first(text):
+    start, end, kind, held = lattice(text)
+    path = likeliest(start, end, kind, [0.0] * len(start)) if text else []
+    return slots([kind[i] for i in path], [held[i] for i in path])
+
+
 def test_readings():
-    assert _readings("A,G") == [["A", "G"]]
-    assert _readings(" a ;  ; b ") == [["a", "", "b"]]
-    assert _readings("'a;b' | \"c d\"") == [["a;b", "c d"]]
-    assert _readings("x y , z") == [["x", "y", "z"]]
-    assert _readings("") == [[""]]
-    assert len(_readings("5'UTR,3'UTR")) == 2
-    assert _readings("'" * 5001)[0] and _readings("a," * 50_000)[0][:2] == ["a", "a"]
+    for text, want in (("A,G", ["A", "G"]), (" a ;  ; b ", ["a", "", "b"]), ("'a;b' | \"c d\"", ["a;b", "c d"]), ("x y , z", ["x", "y", "z"]), ("", [""])):
+        assert _readings(text)[0] == [want] and _first(text) == want
+    assert len(_readings("5'UTR,3'UTR")[0]) == 2
+    assert _first("'" * 5001) and _first("a," * 50_000)[:2] == ["a", "a"]
+    # Spans win where both readings are equally likely: quotes are atomic.
+    assert _first('A"C"T,G') == ["ACT", "G"]
+
+
+def test_lattice_scores_match_all_readings():
+    rng = random.Random(12)
+    for _ in range(300):
+        text = "".join(rng.choices("ab'\", ", k=rng.randint(1, 14)))
+        start, end, kind, held = lattice(text)
+        weight = {h: rng.uniform(-5, -0.1) for h in held}
+        score = [0.0 if k == GAP else weight[h] for k, h in zip(kind, held)]
+        paths = _readings(text)[1]
+        totals = [sum(score[i] for i in p) for p in paths]
+        best = likeliest(start, end, kind, score)
+        assert abs(sum(score[i] for i in best) - max(totals)) < 1e-9
+        shares = [math.exp(t - max(totals)) for t in totals]
+        for i, x in enumerate(expected(start, end, score)):
+            assert abs(x - sum(w for w, p in zip(shares, paths) if i in p) / sum(shares)) < 1e-9
+
+
+def test_quotes_beyond_any_number_of_readings(spark):
+    """2 ** 24 readings or so of one field: frequencies still settle every quote of it."""
+    long = ";".join(["5'UTR,3'UTR"] * 12)
+    rows = [(i, ("UTR", "5", "3")[i % 3]) for i in range(300)] + [(900, long), (901, "'UTR,3';5")]
+    got = segment_fields(spark.createDataFrame(rows, "id long, alt string"), key=["id"], fields=["alt"]).collect()
+    assert [r.item for r in sorted(got) if r.id == 900] == ["5", "UTR", "3", "UTR"] * 12
+    assert [r.item for r in sorted(got) if r.id == 901] == ["UTR,3", "5"]
 
 
 def test_segment_fields(spark):
