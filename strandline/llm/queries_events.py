@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.distinct import count_bitmaps, id_bitmaps, merge_bitmaps
+from strandline.llm.distinct import bitmaps_of, count_bitmaps, encode_ids, merge_bitmaps, shared_bitmaps
 from strandline.llm.percentiles import quantile_sketches, sketch_quantile
 from strandline.llm.runs import collapse_runs
+from strandline.session import checkpointed
 from strandline.tables import canonical_chrom, canonical_chrom_sql, table
 
 
@@ -54,25 +55,33 @@ P1_SQL = _RUNS_SQL + "SELECT sample_id, first_record_id, last_record_id FROM end
 P1_RUNS_SQL = _RUNS_SQL + "SELECT sample_id, chrom, first_position, last_position, n AS n_events, duration_us, first_record_id FROM ends"
 
 
-def _position_bitmaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _position_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmaps of the positions of each date, panel and cohort, on one dictionary of all positions."""
     calls = table(spark, sf_dir, "variants").select(
         F.to_date("called_at").alias("call_date"), "panel", "cohort", canonical_chrom("chrom").alias("chrom"), "pos"
     )
-    by_panel = id_bitmaps(calls, ids=["chrom", "pos"], dims=["call_date", "panel", "cohort"])
-    return by_panel, merge_bitmaps(by_panel, ["call_date", "cohort"])
+    dims = ["call_date", "panel", "cohort"]
+    return checkpointed(bitmaps_of(encode_ids(calls, ["chrom", "pos"], dims), dims))
 
 
 def p5_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct positions per date, panel and cohort, ``ALL`` being any panel."""
-    by_panel, together = _position_bitmaps(spark, sf_dir)
+    by_panel = _position_bitmaps(spark, sf_dir)
     one = count_bitmaps(by_panel, ["call_date", "panel", "cohort"], "n_positions")
+    together = merge_bitmaps(by_panel, ["call_date", "cohort"])
     everything = count_bitmaps(together, ["call_date", "cohort"], "n_positions").withColumn("panel", F.lit("ALL"))
     return one.unionByName(everything).select(F.date_format("call_date", "yyyy-MM-dd").alias("call_date"), "panel", "cohort", "n_positions")
 
 
+def p5_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct positions that both cohorts have on a date, per panel."""
+    both = shared_bitmaps(_position_bitmaps(spark, sf_dir).filter(F.col("cohort").isin("case", "control")), ["call_date", "panel"], of=2)
+    counted = count_bitmaps(both, ["call_date", "panel"], "n_shared").filter("n_shared > 0")
+    return counted.select(F.date_format("call_date", "yyyy-MM-dd").alias("call_date"), "panel", "n_shared")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported unique positions that are off the true number by more than 5 %."""
-    # The bitmaps are counted from one pass: each panel's, and their OR.
     true = p5_positions(spark, sf_dir)
     reports = table(spark, sf_dir, "comparisons").select(
         "comparison_id",
@@ -97,6 +106,12 @@ counted AS (
   SELECT call_date, 'ALL', cohort, count(DISTINCT (c, pos)) FILTER (c IS NOT NULL AND pos IS NOT NULL) FROM calls GROUP BY ALL)
 """
 P5_POSITIONS_SQL = _POSITIONS_SQL + "SELECT strftime(call_date, '%Y-%m-%d') AS call_date, panel, cohort, CAST(n_positions AS BIGINT) AS n_positions FROM counted WHERE n_positions > 0"
+P5_SHARED_SQL = f"""
+WITH calls AS (
+  SELECT DISTINCT CAST(called_at AS DATE) AS call_date, panel, cohort, {canonical_chrom_sql("chrom")} AS c, pos FROM variants WHERE cohort IN ('case', 'control')),
+both_sides AS (SELECT call_date, panel, c, pos FROM calls WHERE c IS NOT NULL AND pos IS NOT NULL GROUP BY ALL HAVING count(*) = 2)
+SELECT strftime(call_date, '%Y-%m-%d') AS call_date, panel, count(*) AS n_shared FROM both_sides GROUP BY ALL
+"""
 P5_SQL = (
     _POSITIONS_SQL
     + """, reports AS (
@@ -160,5 +175,5 @@ SELECT DISTINCT entity, measure FROM reports JOIN medians USING (entity, measure
 WHERE reported IS NOT NULL AND abs(reported - truth) > 0.05 * abs(truth)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_positions": p5_positions, "p6_found": p6_found}
-SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p5_found": P5_SQL, "p5_positions": P5_POSITIONS_SQL, "p6_found": P6_SQL}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_positions": p5_positions, "p5_shared": p5_shared, "p6_found": p6_found}
+SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p5_found": P5_SQL, "p5_positions": P5_POSITIONS_SQL, "p5_shared": P5_SHARED_SQL, "p6_found": P6_SQL}

@@ -6,9 +6,10 @@ import random
 import statistics
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from strandline.llm.distinct import build_dictionary, count_bitmaps, id_bitmaps, merge_bitmaps, shared_bitmaps
+from strandline.llm.distinct import ARRAY, BITS, PLAIN, RUNS, build_dictionary, count_bitmaps, id_bitmaps, members, merge_bitmaps, pack, shared_bitmaps, unpack
 from strandline.llm.percentiles import merge_sketches, quantile_sketches, rank_error, sketch_quantile
 from strandline.llm.runs import collapse_runs
 
@@ -95,6 +96,34 @@ def test_dictionary_grows_and_keeps_codes(spark):
     assert count_bitmaps(merge_bitmaps(maps, []), []).first().n_distinct == 160
 
 
+def test_two_loads_on_one_dictionary_merge(spark):
+    """The first load's bitmaps are kept; the second is numbered by its dictionary, grown."""
+    rng = random.Random(7)
+    loads = [[(f"d{n}", rng.randint(0, 900)) for _ in range(1500)] for n in (1, 1, 2)]
+    frames = [spark.createDataFrame(rows, "day string, id long") for rows in (loads[0], loads[1] + loads[2])]
+    first = build_dictionary(frames[0], ["id"])
+    both = build_dictionary(frames[1], ["id"], existing=first)
+    maps = [id_bitmaps(f, ids=["id"], dims=["day"], dictionary=d) for f, d in zip(frames, (first, both))]
+    merged = merge_bitmaps(maps[0].unionByName(maps[1]), ["day"])
+    got = {r.day: r.n_distinct for r in count_bitmaps(merged, ["day"]).collect()}
+    assert got == {d: len({i for rows in loads for x, i in rows if x == d}) for d in ("d1", "d2")}
+
+
+def test_containers_keep_every_bit_in_the_least_room():
+    rng = np.random.default_rng(3)
+    for share, kind in ((0.01, ARRAY), (0.5, PLAIN), (0.0, ARRAY), (1.0, RUNS)):
+        bits = (rng.random(BITS) < share).astype(np.uint8)
+        plain = np.packbits(bits, bitorder="little").tobytes()
+        kept = pack(plain)
+        assert kept[:1] == kind and unpack(kept) == plain and members(kept) == bits.sum()
+        assert len(kept) <= BITS // 8 + 1
+    # One identifier of a hundred: two bytes each instead of four kilobytes.
+    sparse = pack(np.packbits(np.arange(BITS) % 100 == 0, bitorder="little").tobytes())
+    assert len(sparse) == 1 + 2 * 328
+    blocks = np.packbits(np.arange(BITS) // 500 % 2 == 1, bitorder="little").tobytes()
+    assert pack(blocks)[:1] == RUNS and unpack(pack(blocks)) == blocks
+
+
 def test_small_groups_have_exact_medians(spark):
     rows = [("a", 3.0), ("a", 1.0), ("b", 5.0), ("c", 1.0), ("c", 2.0), ("c", 2.0), ("c", 9.0), ("c", None), ("c", float("nan")), ("c", float("inf")), ("d", None)]
     df = spark.createDataFrame(rows, "g string, v double")
