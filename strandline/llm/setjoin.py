@@ -24,6 +24,8 @@ SPREAD = 4096
 #: Similarity of unrelated sets that a prefix of all levels is meant to tell apart.
 BACKGROUND = 0.05
 _SEPARATOR = "\u0001"
+#: Unicode's white space (fixed values).
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def credit(threshold: float, depth: int) -> float:
@@ -42,14 +44,15 @@ def trees_needed(threshold: float, depth: int, miss: float = MISS) -> int:
 
 def canonical_items(items: Column | str) -> Column:
     """Items trimmed of white space and in upper case, each once, sorted; without null and empty ones."""
-    clean = F.transform(F.col(items) if isinstance(items, str) else items, lambda x: F.upper(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
-    return F.array_sort(F.array_distinct(F.filter(clean, lambda x: x.isNotNull() & (x != ""))))
+    clean = F.transform(F.col(items) if isinstance(items, str) else items, lambda x: F.upper(F.btrim(x, F.lit(_BLANKS))))
+    return F.sort_array(F.array_distinct(F.filter(clean, lambda x: x.isNotNull() & (x != ""))))
 
 
 def _canonical(df: DataFrame, key: str, items: Column | str, own: Column | None) -> DataFrame:
-    rows = df.select(F.col(key).alias("_key"), canonical_items(items).alias("_items"), (F.lit(True) if own is None else own).alias("_own"))
-    rows = rows.filter(F.col("_key").isNotNull() & (F.size("_items") > 0))
-    return rows.withColumn("_digest", F.unhex(F.md5(F.array_join("_items", _SEPARATOR))))
+    """Each row's items as one text, and its digest; written, so that they are worked out once."""
+    rows = df.select(F.col(key).alias("_key"), F.array_join(canonical_items(items), _SEPARATOR).alias("_text"), (F.lit(True) if own is None else own).alias("_own"))
+    written = checkpointed(rows.withColumn("_digest", F.unhex(F.md5("_text"))))
+    return written.filter(F.col("_key").isNotNull() & (F.col("_text") != ""))
 
 
 def set_classes(df: DataFrame, *, key: str, items: Column | str, own: Column | None = None) -> DataFrame:
@@ -67,9 +70,9 @@ def class_table(df: DataFrame, *, key: str, items: Column | str, own: Column | N
     """Members (``_key``, ``_own``, ``_id``) and classes (``_id``, ``_text``, ``_own``, ``_all``,
     ``_n_own``): equal sets are one class, numbered, written once with its items."""
     rows = _canonical(df, key, items, own)
-    members = rows.groupBy("_key").agg(F.min("_digest").alias("_digest"), F.max("_own").alias("_own"))
+    members = checkpointed(rows.groupBy("_key").agg(F.min("_digest").alias("_digest"), F.max("_own").alias("_own")))
     counted = members.groupBy("_digest").agg(F.max("_own").alias("_own"), F.count("*").alias("_all"), F.count(F.when(F.col("_own"), 1)).alias("_n_own"))
-    texts = rows.select("_digest", F.array_join("_items", _SEPARATOR).alias("_text")).groupBy("_digest").agg(F.first("_text").alias("_text"))
+    texts = rows.groupBy("_digest").agg(F.first("_text").alias("_text"))
     classes = checkpointed(counted.join(texts, "_digest").withColumn("_id", F.monotonically_increasing_id()))
     members = members.join(classes.select("_digest", "_id"), "_digest").select("_key", "_own", "_id")
     return members, classes.drop("_digest")
