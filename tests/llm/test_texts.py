@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from strandline.llm.encoding import TOKENIZERS, _text_bytes, cut_points, encode_corpus, encoder, token_counts
+from strandline.llm.encoding import TOKENIZERS, Joiner, _encode_batches, _text_bytes, cut_points, encode_corpus, encoder, token_counts
 from strandline.llm.mixing import mix_sources, reached_shares
 from strandline.llm.truncation import aligned_end, truncated
 
@@ -56,6 +56,31 @@ def test_cuts_follow_content_and_copies_share_chunks():
     assert np.all(np.diff(ends) > 0)
 
 
+def test_joins_are_repaired_whatever_the_cuts():
+    """Chunks cut anywhere, in words, numbers, contractions and between Han characters, join to the whole text's ids."""
+    rng = random.Random(5)
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    coder = encoder(path)
+    alphabet = list("abc de'sf 12\n.,  é語。、は ") + ["'ll", " the", "方法は、", "試料。"]
+    for _ in range(60):
+        text = "".join(rng.choices(alphabet, k=rng.randint(1, 300)))
+        cuts = sorted({0, len(text), *rng.choices(range(len(text) + 1), k=rng.randint(0, 12))})
+        pieces = [text[a:b].encode() for a, b in zip(cuts, cuts[1:])]
+        batch = pa.RecordBatch.from_arrays([pa.array([p[:16] for p in pieces]), pa.array(pieces)], names=["d", "c"])
+        (coded,) = _encode_batches(path)(iter([batch]))
+        parts = list(zip(*(coded.column(i).to_pylist() for i in (1, 2, 3))))
+        assert Joiner(path).join(parts).tolist() == coder.encode_ordinary(text)
+
+
+def test_unspaced_texts_share_chunks():
+    rng = random.Random(2)
+    text = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(4000))
+    data, offsets = _text_bytes(pa.array([text, "序" + text]))
+    raw, ends = data.tobytes(), cut_points(data, offsets)
+    pieces = [raw[a:b].decode() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    assert len(pieces) > 60 and len(set(pieces)) < 0.6 * len(pieces)
+
+
 @pytest.mark.parametrize("budget", [None, 700.0, 1_000_000.0])
 def test_mix_matches_a_plain_queue(spark, budget):
     rng = random.Random(2)
