@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.plans import interval_queries, model_queries, problems, statistics_queries, streaming_queries, variant_queries
+from strandline.plans import format_queries, interval_queries, model_queries, problems, reference_queries, statistics_queries, streaming_queries, variant_queries
 
-_MODULES = [problems, variant_queries, interval_queries, statistics_queries, model_queries, streaming_queries]
+_MODULES = [problems, variant_queries, interval_queries, statistics_queries, model_queries, streaming_queries, reference_queries, format_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -26,6 +26,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line")).filter(F.col("line") != "")
 
 
+def _header(spark: SparkSession, path: str) -> str:
+    """The first line that is not empty, of the first file by name; '' without one."""
+    lines = spark.read.text(path).filter(F.col("value") != "")
+    name = lines.agg(F.min("_metadata.file_path")).first()[0]
+    first = spark.read.text(name).filter(F.col("value") != "").first() if name else None
+    return first[0].rstrip("\r") if first else ""
+
+
 def _part(i: int) -> Column:
     return F.get(F.split("line", "\t"), F.lit(i))
 
@@ -84,10 +92,9 @@ def read_expression(spark: SparkSession, path: str) -> DataFrame:
 
     The header names the samples; bad or missing cells are 0, further ones are
     ignored, rows without a gene are left out."""
-    header = spark.read.text(path).filter(F.col("value") != "").first()
-    names = header[0].rstrip("\r").split("\t")[1:] if header else []
-    samples = F.array(*[F.lit(n.strip()) for n in names]).cast("array<string>")
-    rows = _lines(spark, path).filter(F.col("line") != F.lit(header[0].rstrip("\r") if header else "")).withColumn("gene_id", F.trim(_part(0))).filter(F.col("gene_id") != "")
+    header = _header(spark, path)
+    samples = F.array(*[F.lit(n.strip()) for n in header.split("\t")[1:]]).cast("array<string>")
+    rows = _lines(spark, path).filter(F.col("line") != F.lit(header)).withColumn("gene_id", F.trim(_part(0))).filter(F.col("gene_id") != "")
     cells = rows.select("gene_id", F.split("line", "\t").alias("_c"), F.posexplode(samples).alias("_i", "sample_id"))
     value = F.coalesce(_try(F.trim(F.get("_c", F.col("_i") + 1)), "double"), F.lit(0.0))
     return cells.select("gene_id", "sample_id", (F.col("_i") + 1).alias("sample_no"), value.alias("value"))
@@ -174,17 +181,18 @@ def read_fasta(spark: SparkSession, path: str, *, only_bases: bool = False) -> D
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a file with their number from 1: ``line``, ``line_no``.
+    """Lines with their number from 1: ``line``, ``line_no``; several files or the parts
+    of a folder are one text, in the order of their names.
 
-    Numbers within each part come from the reader, the parts' offsets from their
-    sizes; there is one row a part, so no task sees more than its own lines.
+    Within each block of a file the reader's order counts, and the blocks' offsets come
+    from their sizes; there is one row a block, so no task sees more than its own lines.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
-    placed = lines.select("line", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return placed.join(offsets, "_part").select("line", (F.col("_offset") + F.col("_row") + 1).alias("line_no"))
+    place = ["_file", "_start"]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    sizes = lines.groupBy(*place).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = W.partitionBy(F.lit(0)).orderBy(*place).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*place, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return lines.join(offsets, place).select("line", (F.col("_offset") + F.col("_at") - F.col("_first") + 1).alias("line_no"))
 
 
 def fastq_quality(spark: SparkSession, path: str) -> DataFrame:
@@ -204,21 +212,55 @@ def fastq_quality(spark: SparkSession, path: str) -> DataFrame:
     return sums.select("n_reads", "n_bases", F.coalesce(F.try_divide("n_bases", "n_reads"), F.lit(0.0)).alias("mean_length"), pct("_gc").alias("gc_pct"), pct("_q").alias("q30_pct"))
 
 
-def read_mex(spark: SparkSession, directory: str) -> DataFrame:
-    """A 10x matrix directory in long form: barcode, feature, n.
+def read_mex(spark: SparkSession, directory: str, *, names: dict[str, str] | None = None) -> DataFrame:
+    """A 10x matrix directory in long form: barcode, feature, n (or its three parts by ``names``).
 
     Barcodes and features are numbered by their lines (second column of the features
     if there is one, else the first)."""
 
+    places = names or {name: f"{directory}/{name}*" for name in ("barcodes", "features", "matrix")}
+
     def numbered(name: str, column: Column) -> DataFrame:
-        return numbered_lines(spark, f"{directory}/{name}*").select(column.alias(name), F.col("line_no").alias("_no"))
+        return numbered_lines(spark, places[name]).select(column.alias(name), F.col("line_no").alias("_no"))
 
     cells = numbered("barcodes", F.trim("line")).select(F.col("barcodes").alias("barcode"), F.col("_no").alias("cell_no"))
     parts = F.split("line", "\t")
     features = numbered("features", F.coalesce(F.get(parts, F.lit(1)), parts[0])).select(F.col("features").alias("feature"), F.col("_no").alias("feature_no"))
-    entries = numbered_lines(spark, f"{directory}/matrix*").filter(~F.col("line").startswith("%"))
+    entries = numbered_lines(spark, places["matrix"]).filter(~F.col("line").startswith("%"))
     split = F.split(F.trim("line"), r"\s+")
     rows = entries.select(split[0].cast("long").alias("feature_no"), split[1].cast("long").alias("cell_no"), split[2].cast("long").alias("n"), F.col("line_no").alias("_at"))
     # The first line that is no comment holds the dimensions.
     first = rows.agg(F.min("_at").alias("_first"))
     return rows.crossJoin(first).filter(F.col("_at") > F.col("_first")).join(cells, "cell_no").join(features, "feature_no").select("barcode", "feature", "n")
+
+
+def read_counts_table(spark: SparkSession, path: str) -> DataFrame:
+    """A matrix of counts with a header (tab or comma, whichever the header has) in long
+    form: row, feature, n. Bad and missing cells are 0; rows without a name are left out."""
+    head = _header(spark, path)
+    mark = "\t" if "\t" in head else ","
+    names = F.array(*[F.lit(n.strip()) for n in head.split(mark)[1:]]).cast("array<string>")
+    cells = _lines(spark, path).filter(F.col("line") != F.lit(head)).withColumn("_c", F.split("line", mark)).withColumn("row", F.trim(F.get("_c", F.lit(0)))).filter(F.col("row") != "")
+    long = cells.select("row", "_c", F.posexplode(names).alias("_i", "feature"))
+    return long.select("row", "feature", F.coalesce(_try(F.trim(F.get("_c", F.col("_i") + 1)), "double"), F.lit(0.0)).alias("n"))
+
+
+def read_spots(spark: SparkSession, path: str) -> DataFrame:
+    """Positions of spots in tissue (barcode, in_tissue, row, column, y, x): barcode, x, y.
+    A header that begins with ``barcode`` is left out; commas or tabs part the fields."""
+    parts = F.split("line", "[,\t]")
+    rows = _lines(spark, path).filter(~F.lower("line").startswith("barcode") & (F.size(parts) >= 6))
+    number = lambda i: _try(F.trim(parts[i]), "double")
+    spots = rows.select(F.trim(parts[0]).alias("barcode"), number(5).alias("x"), number(4).alias("y"), number(1).alias("_in"))
+    return spots.filter((F.col("_in") != 0) & F.col("x").isNotNull() & F.col("y").isNotNull()).drop("_in")
+
+
+def read_spot_counts(spark: SparkSession, positions: str, matrix: str) -> DataFrame:
+    """Spots in tissue with the total of their counts: a positions file and a 10x matrix directory."""
+    totals = read_mex(spark, matrix).groupBy("barcode").agg(F.sum("n").alias("total"))
+    return read_spots(spark, positions).join(totals, "barcode", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+
+
+def read_summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Summaries written as JSON, one document a line, of a given schema; what does not fit is null."""
+    return spark.read.text(path).select(F.from_json("value", schema).alias("_s")).select("_s.*")
