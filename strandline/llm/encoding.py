@@ -32,6 +32,7 @@ CUT_MASK = np.uint32((1 << 8) - 1)
 REMEMBERED = 100_000
 
 _loaded: dict[str, tiktoken.Encoding] = {}
+_pieces: dict[str, list[bytes]] = {}
 
 
 def encoder(path: str) -> tiktoken.Encoding:
@@ -43,6 +44,14 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _loaded[path]
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of every token, listed once a Python worker."""
+    if path not in _pieces:
+        coder = encoder(path)
+        _pieces[path] = [coder.decode_single_token_bytes(t) for t in range(coder.n_vocab)]
+    return _pieces[path]
+
+
 def _rolling(data: np.ndarray) -> np.ndarray:
     """At each byte, a hash of the bytes up to it, 2 ** WINDOW_DOUBLINGS of them."""
     table = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint32)
@@ -153,19 +162,24 @@ def _encode_batches(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, width = encoder(path), _width(path)
-        lengths = np.zeros(coder.n_vocab, np.int64)
-        for token in range(coder.n_vocab):
-            lengths[token] = len(coder.decode_single_token_bytes(token))
+        lengths = np.array([len(b) for b in token_bytes(path)], np.int64)
         for batch in batches:
+            chunks = batch.column(1).to_pylist()
+            raw = b"".join(chunks)
+            bounds = np.concatenate(([0], np.cumsum([len(c) for c in chunks]))).astype(np.int64)
+            # Places of agreement inside the chunks, which begin and end with whole characters.
+            safe = _agreed(np.frombuffer(raw, np.uint8))
+            of = np.searchsorted(bounds, safe, side="right") - 1
+            safe, of = safe[safe > bounds[of]], of[safe > bounds[of]]
+            first, last = np.searchsorted(of, np.arange(len(chunks))), np.searchsorted(of, np.arange(len(chunks)), side="right") - 1
             codes, heads, tails = [], [], []
-            for chunk in batch.column(1).to_pylist():
+            for i, chunk in enumerate(chunks):
                 ids = np.array(coder.encode_ordinary(chunk.decode()), np.int64)
-                safe = _agreed(np.frombuffer(chunk, np.uint8))
                 codes.append(ids.astype(width).tobytes())
-                if len(safe):
-                    at = np.searchsorted(np.cumsum(lengths[ids]), safe[[0, -1]])
-                    heads.append(int(at[0]) + 1)
-                    tails.append(len(ids) - int(at[1]) - 1)
+                if first[i] <= last[i]:
+                    a, b = np.searchsorted(np.cumsum(lengths[ids]), (safe[first[i]] - bounds[i], safe[last[i]] - bounds[i]))
+                    heads.append(int(a) + 1)
+                    tails.append(len(ids) - int(b) - 1)
                 else:
                     heads.append(-1)
                     tails.append(-1)
@@ -185,7 +199,7 @@ class Joiner:
 
     def __init__(self, path: str) -> None:
         self.coder, self.width = encoder(path), _width(path)
-        self.bytes = [self.coder.decode_single_token_bytes(t) for t in range(self.coder.n_vocab)]
+        self.bytes = token_bytes(path)
         self.known: dict[bytes, np.ndarray] = {}
 
     def again(self, parts: list[np.ndarray]) -> np.ndarray:
