@@ -92,14 +92,14 @@ def chi_square_tail(x: Column, df: int) -> Column:
 
 
 def poisson_log10_tail(k: Column, rate: Column, cap: float = 300.0) -> Column:
-    """-log10 of the chance of k or more at ``rate``: exact below 50, normal beyond, at most ``cap``."""
+    """-log10 of the chance of k or more at ``rate``: exact below 50, normal beyond, at most ``cap``; null for null."""
     below = F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.least(k, F.lit(50)) - 1, F.lit(0))), F.lit(0.0), lambda a, i: a + F.exp(i * F.log(rate) - rate - ln_gamma(i.cast("double") + 1.0))
     )
     exact = 1.0 - below
     z = (k - 0.5 - rate) / F.sqrt(rate)
     tail = F.when(k < 50, exact).otherwise(0.5 * erfc(z / math.sqrt(2.0)))
-    return F.when((k <= 0) | (rate <= 0), 0.0).otherwise(F.least(F.lit(cap), -F.log10(F.greatest(tail, F.lit(10.0**-cap)))))
+    return F.when((k <= 0) | (rate <= 0), 0.0).when(k.isNotNull() & rate.isNotNull(), F.least(F.lit(cap), -F.log10(F.greatest(tail, F.lit(10.0**-cap)))))
 
 
 def cosine(a: Column, b: Column) -> Column:

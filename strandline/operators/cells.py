@@ -93,7 +93,7 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, *, key: str, vector:
             return empty
         x, y = np.stack(a["_v"].to_list()), np.stack(b["_v"].to_list())
         keys = b["_key"].to_numpy()
-        out = []
+        asked, found_keys, found_distances = [], [], []
         for start in range(0, len(x), 256):
             part = x[start : start + 256]
             own, other = (part * part).sum(1)[:, None], (y * y).sum(1)
@@ -106,8 +106,10 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, *, key: str, vector:
                 choice = np.flatnonzero(~(near[i] > bound[i]) & (keys != query))
                 exact = np.sqrt(((part[i] - y[choice]) ** 2).sum(1))
                 first = np.lexsort((keys[choice], exact))[:k]
-                out.append(pd.DataFrame({"query": query, "neighbour": keys[choice[first]], "distance": exact[first]}))
-        return pd.concat(out)
+                asked += [query] * len(first)
+                found_keys.append(keys[choice[first]])
+                found_distances.append(exact[first])
+        return pd.DataFrame({"query": asked, "neighbour": np.concatenate(found_keys), "distance": np.concatenate(found_distances)})
 
     found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(pairs, f"query {kind}, neighbour {kind}, distance double")
     order = W.partitionBy("query").orderBy("distance", "neighbour")

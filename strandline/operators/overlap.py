@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators.intervals import BLOCK_WIDTH, periods_and_gaps
+from strandline.operators.ordering import BLOCK_ROWS, in_blocks, numbered, running
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", left_span: tuple[str, str], right_span: tuple[str, str], bin_width: int = 1 << 17, how: str = "inner") -> DataFrame:
@@ -58,54 +59,73 @@ def dense_islands(df: DataFrame, *, entity: list[str], position: str, span: int
     return periods_and_gaps(seeds, entity=entity).filter((F.col("kind") == "period") & (F.col("end_pos") - F.col("start_pos") >= min_length)).drop("kind")
 
 
-def clustered_sites(df: DataFrame, *, entity: list[str], position: str, size: int = 6, mean_distance: float = 1000.0) -> DataFrame:
+def clustered_sites(df: DataFrame, *, entity: list[str], position: str, size: int = 6, mean_distance: float = 1000.0, block: int = BLOCK_ROWS) -> DataFrame:
     """Regions in which sites crowd: runs of ``size`` neighbours whose distances have a
     geometric mean (of distance + 1) below ``mean_distance``; overlapping runs are one."""
     sites = df.select(*entity, F.col(position).alias("_pos")).dropna().distinct()
-    along = W.partitionBy(*entity).orderBy("_pos")
-    gap = F.log(F.col("_pos") - F.lag("_pos").over(along) + 1.0)
-    with_gap = sites.withColumn("_g", gap)
+    placed = in_blocks(numbered(sites, entity, ["_pos"]), after=size - 1, size=block)
+    along = W.partitionBy(*entity, "_b").orderBy("_i")
+    with_gap = placed.withColumn("_g", F.log(F.col("_pos") - F.lag("_pos").over(along) + 1.0))
     frame = along.rowsBetween(1, size - 1)
     seeds = (
         with_gap.withColumn("_m", F.avg("_g").over(frame)).withColumn("_n", F.count("_g").over(frame)).withColumn("_last", F.last("_pos").over(frame))
-        .filter((F.col("_n") == size - 1) & (F.exp("_m") < mean_distance))
+        .filter(F.col("_own") & (F.col("_n") == size - 1) & (F.exp("_m") < mean_distance))
         .select(*entity, F.col("_pos").alias("start_pos"), (F.col("_last") + 1).alias("end_pos"))
     )
     return periods_and_gaps(seeds, entity=entity).filter(F.col("kind") == "period").drop("kind")
 
 
-def sliding_regions(df: DataFrame, *, entity: list[str], order: list[str], value: Column, rows: int = 5, high: float = 80.0, low: float = 20.0) -> DataFrame:
+def sliding_regions(df: DataFrame, *, entity: list[str], order: list[str], value: Column, rows: int = 5, high: float = 80.0, low: float = 20.0, block: int = BLOCK_ROWS) -> DataFrame:
     """Windows of exactly ``rows`` ordered sites whose mean is above ``high`` or below ``low``."""
-    along = W.partitionBy(*entity).orderBy(*order)
-    frame = along.rowsBetween(0, rows - 1)
-    windows = df.withColumn("_v", value).filter(F.col("_v").isNotNull())
+    sites = df.withColumn("_v", value).filter(F.col("_v").isNotNull())
+    frame = W.partitionBy(*entity, "_b").orderBy("_i").rowsBetween(0, rows - 1)
+    windows = in_blocks(numbered(sites, entity, order), after=rows - 1, size=block)
     windows = windows.withColumn("_mean", F.avg("_v").over(frame)).withColumn("_n", F.count("_v").over(frame)).withColumn("end_pos", F.last(order[0]).over(frame))
     kind = F.when(F.col("_mean") > high, "hyper").when(F.col("_mean") < low, "hypo")
-    return windows.filter(F.col("_n") == rows).withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(*entity, F.col(order[0]).alias("start_pos"), "end_pos", "kind", F.round("_mean", 5).alias("mean"))
+    return windows.filter(F.col("_own") & (F.col("_n") == rows)).withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(*entity, F.col(order[0]).alias("start_pos"), "end_pos", "kind", F.round("_mean", 5).alias("mean"))
 
 
-def change_points(df: DataFrame, *, entity: list[str], order: list[str], value: str, step: float = 0.3) -> DataFrame:
+def change_points(df: DataFrame, *, entity: list[str], order: list[str], value: str, step: float = 0.3, block: int = BLOCK_ROWS) -> DataFrame:
     """Rolling mean over five rows, centred, and segments that begin where it jumps by more than ``step``."""
-    along = W.partitionBy(*entity).orderBy(*order)
-    smooth = df.withColumn("_mean", F.avg(F.col(value).cast("double")).over(along.rowsBetween(-2, 2)))
+    along = W.partitionBy(*entity, "_b").orderBy("_i")
+    placed = in_blocks(numbered(df, entity, order), before=3, after=2, size=block)
+    smooth = placed.withColumn("_mean", F.avg(F.col(value).cast("double")).over(along.rowsBetween(-2, 2)))
     jump = F.coalesce(F.abs(F.col("_mean") - F.lag("_mean").over(along)) > step, F.lit(True))
-    numbered = smooth.withColumn("_new", jump.cast("int")).withColumn("segment_no", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*entity, "segment_no").agg(F.count("*").alias("n_rows"), F.min(order[0]).alias("first_pos"), F.max(order[0]).alias("last_pos"), F.round(F.avg("_mean"), 5).alias("level"))
+    # The last row before a block and the first one of an entity have no row before them here, only there.
+    flagged = smooth.withColumn("_new", jump.cast("int")).filter("_own").drop("_b", "_own")
+    segments = running(flagged, entity, F.col("_new"), "segment_no")
+    return segments.groupBy(*entity, "segment_no").agg(F.count("*").alias("n_rows"), F.min(order[0]).alias("first_pos"), F.max(order[0]).alias("last_pos"), F.round(F.avg("_mean"), 5).alias("level"))
 
 
 def merge_keeping_best(df: DataFrame, *, entity: list[str], start: str, end: str, best: str, keep: list[str]) -> DataFrame:
     """Overlapping or touching intervals as one, with the ``keep`` columns of the row
     that has the highest ``best`` (of equal ones the first) and its count."""
-    along = W.partitionBy(*entity).orderBy(start, end)
-    before = F.max(end).over(along.rowsBetween(W.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", F.coalesce(F.col(start) > before, F.lit(True)).cast("int"))
-    grouped = flagged.withColumn("_g", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    rows = running(numbered(df, entity, [start, end]), entity, F.col(end), "_before", F.max, inclusive=False)
+    flagged = rows.withColumn("_new", F.coalesce(F.col(start) > F.col("_before"), F.lit(True)).cast("int"))
+    grouped = running(flagged, entity, F.col("_new"), "_g")
     merged = grouped.groupBy(*entity, "_g").agg(
         F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged"), F.max(F.struct(F.col(best), -F.col(start), *[F.col(c) for c in keep])).alias("_x")
     )
     return merged.select(*entity, start, end, "n_merged", F.col(f"_x.{best}").alias(best), *[F.col(f"_x.{c}").alias(c) for c in keep])
 
 
+def deepest_stack(df: DataFrame, *, entity: list[str], start: str, end: str) -> DataFrame:
+    """The largest number of intervals over one point, per entity (``deepest``), by the
+    running sum of starts and ends."""
+    ends = df.select(*entity, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("_x"))
+    steps = ends.groupBy(*entity, F.col("_x.at").alias("_at")).agg(F.sum("_x.d").alias("_d"))
+    depth = running(numbered(steps, entity, ["_at"]), entity, F.col("_d"), "_depth")
+    return depth.groupBy(*entity).agg(F.max("_depth").alias("deepest"))
+
+
+def area_under(df: DataFrame, *, entity: list[str], order: list[str], x: Column, y: Column, block: int = BLOCK_ROWS) -> DataFrame:
+    """Rows and area (trapezoids) under y over x per entity, in the order."""
+    rows = in_blocks(numbered(df.withColumn("_x", x).withColumn("_y", y), entity, order), before=1, size=block)
+    along = W.partitionBy(*entity, "_b").orderBy("_i")
+    part = (F.col("_y") + F.lag("_y").over(along)) / 2 * (F.col("_x") - F.lag("_x").over(along))
+    return rows.withColumn("_a", part).filter("_own").groupBy(*entity).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
+
+
 def filled_bins(df: DataFrame, *, entity: str, position: str, width: int) -> DataFrame:
     """Rows per (entity, bin of ``width``), bins without rows up to the last one included."""
     counted = df.groupBy(entity, F.floor(F.col(position) / width).alias("bin")).agg(F.count("*").alias("n_rows"))

@@ -12,14 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.stats import hypergeometric_tail, normal_two_sided
+from strandline.operators.ordering import mid_ranks
 from strandline.session import checkpointed, shuffle_partitions
 
-#: Value blocks of an ordering over all rows.
-BLOCKS = 64
+#: Value blocks of an ordering over all rows, for each shuffle partition.
+BLOCKS_EACH = 4
 
 
-def value_blocks(df: DataFrame, column: str, blocks: int = BLOCKS) -> DataFrame:
+def value_blocks(df: DataFrame, column: str, blocks: int | None = None) -> DataFrame:
     """Rows with ``_block``: equal values in one block, blocks in the order of values."""
+    blocks = blocks or max(8, BLOCKS_EACH * shuffle_partitions(df.sparkSession))
     cuts = df.select(F.percentile_approx(column, [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
     edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
     return df.withColumn("_block", F.size(F.filter(edges, lambda c: c < F.col(column))))
@@ -96,16 +98,10 @@ def welch(df: DataFrame, *, by: list[str], second: Column, value: Column) -> Dat
     )
 
 
-def mid_rank(by: list[str], value: str) -> Column:
-    """Average rank, ties sharing theirs."""
-    order = W.partitionBy(*by).orderBy(value)
-    return F.rank().over(order) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2.0
-
-
 def spearman(df: DataFrame, *, by: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation of two columns per group; 0 where one does not vary."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
-    ranked = rows.withColumn("_x", mid_rank(by, x)).withColumn("_y", mid_rank(by, y))
+    ranked = mid_ranks(mid_ranks(rows.select(*by, x, y), by, x, "_x"), by, y, "_y")
     rho = F.corr("_x", "_y")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.isnan(rho), 0.0).otherwise(F.coalesce(rho, F.lit(0.0))).alias("rho"))
 
@@ -113,7 +109,7 @@ def spearman(df: DataFrame, *, by: list[str], x: str, y: str) -> DataFrame:
 def rank_sum(df: DataFrame, *, by: list[str], group: Column, value: str) -> DataFrame:
     """Wilcoxon rank sum of the rows where ``group`` holds against the others: U, the area
     under the curve, z (no correction for ties) and its p-value (1 for 20 rows or fewer)."""
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_g", group.cast("int")).withColumn("_r", mid_rank(by, value))
+    ranked = mid_ranks(df.filter(F.col(value).isNotNull()).withColumn("_g", group.cast("int")).select(*by, value, "_g"), by, value, "_r")
     sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_g").alias("n_in"), F.sum(F.when(F.col("_g") == 1, F.col("_r"))).alias("_w"))
     ok = sums.filter((F.col("n_in") > 0) & (F.col("n_in") < F.col("n")))
     n1, n2 = F.col("n_in"), F.col("n") - F.col("n_in")
@@ -164,18 +160,9 @@ def enrichment_scores(ranked: DataFrame, sets: DataFrame, *, set_key: str, gene:
     the furthest from zero, which a sum reaches at a hit or right before one, so
     only hits are visited. With it, the number of leading genes up to (or from) it.
     """
-    members = sets.select(set_key, gene).distinct().join(ranked.select(gene, rank), gene)
-    total = ranked.agg(F.count("*").alias("_all"))
-    along = W.partitionBy(set_key).orderBy(rank)
-    hits = members.withColumn("_i", F.row_number().over(along)).withColumn("_n", F.count("*").over(W.partitionBy(set_key))).crossJoin(total)
-    hits = hits.filter(F.col("_n") < F.col("_all"))
-    up, down = F.sqrt((F.col("_all") - F.col("_n")) / F.col("_n")), F.sqrt(F.col("_n") / (F.col("_all") - F.col("_n")))
-    at = F.col("_i") * up - (F.col(rank) - F.col("_i")) * down
-    points = hits.withColumn("_at", at).withColumn("_ahead", at - up)
+    points = _points(ranked, sets, set_key, gene, rank)
     return (
-        points.groupBy(set_key)
-        .agg(F.max("_n").alias("n_hits"), F.max(F.struct("_at", -F.col("_i"))).alias("_top"), F.min(F.struct("_ahead", F.col("_i"))).alias("_low"))
-        .withColumn("_rises", F.abs(F.col("_top._at")) >= F.abs(F.col("_low._ahead")))
+        _peaks(points, set_key)
         .select(
             set_key,
             "n_hits",
@@ -183,3 +170,29 @@ def enrichment_scores(ranked: DataFrame, sets: DataFrame, *, set_key: str, gene:
             F.when(F.col("_rises"), -F.col("_top.col2")).otherwise(F.col("n_hits") - F.col("_low._i") + 1).alias("n_leading"),
         )
     )
+
+
+def leading_genes(ranked: DataFrame, sets: DataFrame, *, set_key: str, gene: str = "gene", rank: str = "rank") -> DataFrame:
+    """The genes of each set up to its peak, or from it on where the score is negative: set_key, gene, rank."""
+    points = _points(ranked, sets, set_key, gene, rank)
+    peaks = _peaks(points, set_key).select(set_key, "_rises", (-F.col("_top.col2")).alias("_to"), F.col("_low._i").alias("_from"))
+    inside = F.when(F.col("_rises"), F.col("_i") <= F.col("_to")).otherwise(F.col("_i") >= F.col("_from"))
+    return points.join(peaks, set_key).filter(inside).select(set_key, gene, rank)
+
+
+def _points(ranked: DataFrame, sets: DataFrame, set_key: str, gene: str, rank: str) -> DataFrame:
+    """Hits of each set in order, with the running sum at (``_at``) and right before (``_ahead``) each."""
+    members = sets.select(set_key, gene).distinct().join(ranked.select(gene, rank), gene)
+    total = ranked.agg(F.count("*").alias("_all"))
+    along = W.partitionBy(set_key).orderBy(rank)
+    hits = members.withColumn("_i", F.row_number().over(along)).withColumn("_n", F.count("*").over(W.partitionBy(set_key))).crossJoin(total)
+    hits = hits.filter(F.col("_n") < F.col("_all"))
+    up, down = F.sqrt((F.col("_all") - F.col("_n")) / F.col("_n")), F.sqrt(F.col("_n") / (F.col("_all") - F.col("_n")))
+    at = F.col("_i") * up - (F.col(rank) - F.col("_i")) * down
+    return hits.withColumn("_at", at).withColumn("_ahead", at - up)
+
+
+def _peaks(points: DataFrame, set_key: str) -> DataFrame:
+    """Where each running sum is furthest from zero: at its top hit, or right before its lowest."""
+    ends = points.groupBy(set_key).agg(F.max("_n").alias("n_hits"), F.max(F.struct("_at", -F.col("_i"))).alias("_top"), F.min(F.struct("_ahead", F.col("_i"))).alias("_low"))
+    return ends.withColumn("_rises", F.abs(F.col("_top._at")) >= F.abs(F.col("_low._ahead")))

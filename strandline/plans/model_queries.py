@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators import cells, graphs, models, overlap, reads, testing, variants
@@ -54,18 +53,14 @@ def calls_at_gene_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def peak_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deepest stack of overlapping peaks on each chromosome of a run, by running sums of starts and ends."""
-    ends = peaks(spark, sf_dir).select("run_id", "chrom", F.explode(F.array(F.struct(F.col("start_pos").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_pos").alias("at"), F.lit(-1).alias("d")))).alias("_x"))
-    steps = ends.groupBy("run_id", "chrom", F.col("_x.at").alias("at")).agg(F.sum("_x.d").alias("d"))
-    depth = steps.withColumn("depth", F.sum("d").over(W.partitionBy("run_id", "chrom").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
-    return depth.groupBy("run_id", "chrom").agg(F.max("depth").alias("deepest"))
+    return overlap.deepest_stack(peaks(spark, sf_dir).select("peak_id", "run_id", "chrom", "start_pos", "end_pos"), entity=["run_id", "chrom"], start="start_pos", end="end_pos")
 
 
 def value_under_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area under each user's values over time, by trapezoids, in value hours."""
-    rows = table(spark, sf_dir, "events").filter(F.col("ts").isNotNull() & F.col("value").isNotNull()).withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp")))
-    along = W.partitionBy("user_id").orderBy("_s", "event_id")
-    part = (F.col("value") + F.lag("value").over(along)) / 2 * (F.col("_s") - F.lag("_s").over(along)) / 3.6e9
-    return rows.withColumn("_a", part).groupBy("user_id").agg(F.count("*").alias("n_events"), F.round(F.coalesce(F.sum("_a"), F.lit(0.0)), 3).alias("area"))
+    rows = table(spark, sf_dir, "events").filter(F.col("ts").isNotNull() & F.col("value").isNotNull()).select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("_s"))
+    found = overlap.area_under(rows, entity=["user_id"], order=["_s", "event_id"], x=F.col("_s") / 3.6e9, y=F.col("value"))
+    return found.select("user_id", F.col("n_rows").alias("n_events"), F.round("area", 3).alias("area"))
 
 
 def chromosome_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,16 +110,13 @@ def set_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted edges between every fiftieth vector and its five nearest."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = cells.nearest_neighbours(rows.filter(F.col("vec_id") % 50 == 0), rows, key="vec_id", vector="embedding", k=5)
-    return cells.fuzzy_edges(found, key="vec_id").select("src", "dst", F.round("weight", 6).alias("weight"))
+    """Weighted edges between each vector and its five nearest."""
+    return _edges(spark, sf_dir).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = cells.nearest_neighbours(rows.filter(F.col("vec_id") % 50 == 0), rows, key="vec_id", vector="embedding", k=5)
-    return cells.fuzzy_edges(found, key="vec_id")
+    return cells.fuzzy_edges(cells.nearest_neighbours(rows, rows, key="vec_id", vector="embedding", k=5), key="vec_id")
 
 
 def label_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +127,7 @@ def label_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of all vectors, by the edges between each and its five nearest."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = cells.nearest_neighbours(rows, rows, key="vec_id", vector="embedding", k=5)
-    return graphs.communities(cells.fuzzy_edges(found, key="vec_id"))
+    return graphs.communities(_edges(spark, sf_dir))
 
 
 def segments_over_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +163,7 @@ QUERIES = {
 _OBSERVED = f"""{CALLS}, observed AS (
   SELECT *, coalesce(CAST(af AS DOUBLE) >= 0.5 AND NOT isnan(af), false) AS is_alt FROM calls WHERE chrom IS NOT NULL AND pos IS NOT NULL AND qual IS NOT NULL AND NOT isnan(qual))"""
 _EDGES_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (
-        SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM v a, v b WHERE a.vec_id <> b.vec_id),
       r AS (SELECT *, exp(-distance) AS w FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 5),
       g AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, coalesce(max(w) FILTER (a < b), 0.0) AS x, coalesce(max(w) FILTER (a > b), 0.0) AS y FROM r GROUP BY ALL),
       edges AS (SELECT src, dst, x + y - x * y AS weight FROM g)

@@ -87,29 +87,31 @@ def _called_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The thousand most called genes, with their rank."""
-    from pyspark.sql import Window as W
-
-    top = _called_genes(spark, sf_dir).orderBy(F.desc("n"), "gene").limit(1000)
-    return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "gene")))
+    """All called genes with their rank, the most called first."""
+    return T.ranked_all(_called_genes(spark, sf_dir), score="n", key="gene")
 
 
 def set_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference sets rich in the two hundred most called genes."""
-    query = _ranked_genes(spark, sf_dir).filter(F.col("rank") <= 200)
+    query = _called_genes(spark, sf_dir).orderBy(F.desc("n"), "gene").limit(200)
     found = T.over_representation(query, _set_members(spark, sf_dir), set_key="set_key")
     return found.select("set_key", "overlap", "set_size", F.round("p", 7).alias("p"), F.round("padj", 6).alias("padj"))
 
 
 def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enrichment score of each reference set along the most called genes."""
+    """Enrichment score of each reference set along all called genes."""
     scored = T.enrichment_scores(_ranked_genes(spark, sf_dir), _set_members(spark, sf_dir), set_key="set_key")
     return scored.select("set_key", "n_hits", F.round("es", 5).alias("es"))
 
 
+def set_leading_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading genes of each reference set."""
+    return T.leading_genes(_ranked_genes(spark, sf_dir), _set_members(spark, sf_dir), set_key="set_key").select("set_key", "gene", F.col("rank").cast("long").alias("rank"))
+
+
 def tail_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error function, chi-square and Poisson tails over the peaks' heights."""
-    rows = peaks(spark, sf_dir).filter(F.col("summit_height").between(1, 45))
+    rows = peaks(spark, sf_dir)
     x = F.col("summit_height").cast("double")
     return rows.select(
         "peak_id",
@@ -169,6 +171,7 @@ QUERIES = {
         narrow_peak_markers,
         set_enrichment,
         set_scores,
+        set_leading_genes,
         tail_functions,
         cell_quality,
         variable_features,
@@ -179,7 +182,7 @@ QUERIES = {
 _MEANS = """means AS (
   SELECT gene_id, count(*) AS n_values, round(avg(value), 9) AS mean, round(stddev_pop(value), 5) AS spread, max(value) AS highest FROM expression GROUP BY gene_id)"""
 _RANKED = f"""{CALLS}, counted AS (SELECT upper(gene) AS gene, count(*) AS n FROM calls WHERE gene <> '' GROUP BY upper(gene)),
-  ranked AS (SELECT gene, row_number() OVER (ORDER BY n DESC, gene) AS rank FROM counted QUALIFY rank <= 1000),
+  ranked AS (SELECT gene, row_number() OVER (ORDER BY n DESC, gene) AS rank FROM counted),
   members AS (SELECT DISTINCT set_key, upper(trim(g)) AS gene FROM (SELECT set_key, unnest(genes) AS g FROM ref_gene_sets) WHERE trim(g) <> '')"""
 _COUNTS = """counts AS (
   SELECT user_id, event_type, concat_ws('-', event_type, CAST(CAST(json_extract(props, '$.k') AS INTEGER) // 10 AS VARCHAR)) AS feature, count(*) AS n FROM events GROUP BY ALL)"""
@@ -230,13 +233,21 @@ SQL = {
         SELECT m.set_key, rank, row_number() OVER (PARTITION BY m.set_key ORDER BY rank) AS i, count(*) OVER (PARTITION BY m.set_key) AS n, (SELECT count(*) FROM ranked) AS a FROM members m JOIN ranked r ON m.gene = r.gene),
       s AS (SELECT set_key, n, i * sqrt((a - n) / n) - (rank - i) * sqrt(n / (a - n)) AS at_hit, (i - 1) * sqrt((a - n) / n) - (rank - i) * sqrt(n / (a - n)) AS ahead FROM h WHERE n < a)
       SELECT set_key, max(n) AS n_hits, round(CASE WHEN abs(max(at_hit)) >= abs(min(ahead)) THEN max(at_hit) ELSE min(ahead) END, 5) AS es FROM s GROUP BY set_key""",
-    "tail_functions": f"""WITH {PEAKS}, v AS (SELECT peak_id, CAST(summit_height AS DOUBLE) AS h FROM peaks WHERE summit_height BETWEEN 1 AND 45),
+    "set_leading_genes": f"""WITH {_RANKED}, h AS (
+        SELECT m.set_key, m.gene, rank, row_number() OVER (PARTITION BY m.set_key ORDER BY rank) AS i, count(*) OVER (PARTITION BY m.set_key) AS n, (SELECT count(*) FROM ranked) AS a FROM members m JOIN ranked r ON m.gene = r.gene),
+      s AS (SELECT *, i * sqrt((a - n) / n) - (rank - i) * sqrt(n / (a - n)) AS at_hit, (i - 1) * sqrt((a - n) / n) - (rank - i) * sqrt(n / (a - n)) AS ahead FROM h WHERE n < a),
+      p AS (SELECT set_key, abs(max(at_hit)) >= abs(min(ahead)) AS rises, arg_max(i, (at_hit, -i)) AS up_to, arg_min(i, (ahead, i)) AS since FROM s GROUP BY set_key)
+      SELECT s.set_key, gene, rank FROM s JOIN p USING (set_key) WHERE CASE WHEN rises THEN i <= up_to ELSE i >= since END""",
+    "tail_functions": f"""WITH {PEAKS}, v AS (SELECT peak_id, CAST(summit_height AS DOUBLE) AS h FROM peaks),
       n AS (SELECT peak_id, h, (h / 20) / sqrt(2.0) AS x, 1.0 / (1.0 + 0.3275911 * (h / 20) / sqrt(2.0)) AS t FROM v),
       a AS (SELECT peak_id, h, {_ERFC} AS normal_p FROM n),
       c AS (SELECT peak_id, h, normal_p, sqrt(h / 20) AS x, 1.0 / (1.0 + 0.3275911 * sqrt(h / 20)) AS t FROM a),
       b AS (SELECT peak_id, h, normal_p, {_ERFC} AS chi_p1 FROM c),
-      k AS (SELECT DISTINCT h FROM v), pois AS (SELECT h, least(300.0, -log10(greatest(1.0 - sum(CASE WHEN i < h THEN exp(i * ln(20.0) - 20.0 - lgamma(i + 1)) ELSE 0 END), 1e-300))) AS poisson FROM k, range(0, 50) r(i) GROUP BY h)
-      SELECT peak_id, round(normal_p, 6) AS normal_p, round(chi_p1, 6) AS chi_p1, round(exp(-h / 20), 6) AS chi_p2, round(poisson, 5) AS poisson FROM b JOIN pois USING (h)""",
+      k AS (SELECT DISTINCT h, (h - 0.5 - 20) / sqrt(20.0) AS z FROM v), w AS (SELECT h, z, abs(z) / sqrt(2.0) AS x, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM k),
+      few AS (SELECT h, 1.0 - sum(CASE WHEN i < h THEN exp(i * ln(20.0) - 20.0 - lgamma(i + 1)) ELSE 0 END) AS tail FROM k, range(0, 50) r(i) WHERE h < 50 GROUP BY h),
+      tails AS (SELECT h, tail FROM few UNION ALL SELECT h, 0.5 * {_ERFC} FROM w WHERE h >= 50),
+      pois AS (SELECT h, CASE WHEN h <= 0 THEN 0.0 ELSE least(300.0, -log10(greatest(tail, 1e-300))) END AS poisson FROM tails)
+      SELECT peak_id, round(normal_p, 6) AS normal_p, round(chi_p1, 6) AS chi_p1, round(exp(-h / 20), 6) AS chi_p2, round(poisson, 5) AS poisson FROM b LEFT JOIN pois USING (h)""",
     "cell_quality": f"""WITH {_COUNTS}, c AS (SELECT user_id, count(DISTINCT feature) AS n_features, CAST(sum(n) AS BIGINT) AS total, round(coalesce(sum(n) FILTER (event_type = 'error'), 0) * 100.0 / sum(n), 6) AS marked_pct FROM counts GROUP BY user_id),
       m AS (SELECT median(n_features) AS med FROM c), d AS (SELECT median(abs(n_features - med)) AS mad FROM c, m)
       SELECT user_id, n_features, total, marked_pct, n_features BETWEEN med - 3 * mad AND med + 5 * mad AND marked_pct <= 20 AS passes FROM c, m, d""",
