@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import checkpointed
+
 
 def nonnegative_weights(matrix: np.ndarray, target: np.ndarray, *, rounds: int = 500, tolerance: float = 1e-12) -> np.ndarray:
     """Least squares without negative weights, by active sets."""
@@ -70,16 +72,16 @@ def principal_components(df: DataFrame, *, vector: str, k: int, keep: list[str])
     """The first k principal components of array vectors, standardised over all rows.
 
     The rows meet only in one d x d matrix; each component points to where its
-    largest loading is positive.
+    largest loading is positive. A place that does not vary counts as zero.
     """
     rows = df.filter(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(rows)
-    loadings = model.pc.toArray()
-    signs = [float(np.sign(c[np.argmax(np.abs(c))])) or 1.0 for c in loadings.T]
-    means = rows.select(F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size(vector) - 1).alias("i"), F.col(vector).alias("x"))).alias("_x")).groupBy("_x.i").agg(F.avg("_x.x").alias("m"))
-    centre = np.array([r.m for r in means.orderBy("i").collect()]) @ loadings
+    if rows.isEmpty():
+        return rows.select(*keep, *[F.lit(0.0).alias(f"pc{i + 1}") for i in range(k)])
+    scaled = StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_z").fit(rows).transform(rows)
+    model = PCA(k=k, inputCol="_z", outputCol="_pc").fit(scaled)
+    signs = [float(np.sign(c[np.argmax(np.abs(c))])) or 1.0 for c in model.pc.toArray().T]
     scores = vector_to_array("_pc")
-    return model.transform(rows).select(*keep, *[((scores[i] - float(centre[i])) * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
+    return model.transform(scaled).select(*keep, *[(scores[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
 
 
 def dispersion_trend(df: DataFrame, *, gene: list[str], value: str) -> DataFrame:
@@ -125,31 +127,46 @@ def count_models(df: DataFrame, *, gene: list[str], sample: str, value: str, tre
     return df.groupBy(*gene).applyInPandas(fit, f"{kinds}, log2fc double, se double, wald double")
 
 
-def permutation_p_values(scores: DataFrame, *, set_key: str, size: str, score: str, n_ranked: int, permutations: int = 1000, seed: int = 1) -> DataFrame:
-    """p-values of enrichment scores from random sets of the same size.
+def permutation_p_values(scores: DataFrame, *, set_key: str, size: str, score: str, n_ranked: int, permutations: int = 128, most: int = 2048, least_hits: int = 10, seed: int = 1) -> DataFrame:
+    """p-values of enrichment scores from random sets of the same size, over the whole ranking.
 
-    Random sets are drawn per set size, in blocks of permutations spread over the
-    tasks; their scores are counted, not kept. Two-sided on the size of the score,
-    (hits + 1) / (permutations + 1).
+    Random sets are drawn per set size, in blocks spread over the tasks; their scores
+    are counted, not kept. Sizes with a set that fewer than ``least_hits`` of them
+    reach are drawn as often again, until that holds or ``most`` were drawn: so small
+    p-values rest on many. Two-sided on the size of the score, (hits + 1) / (draws + 1);
+    a p-value's standard error is about its root over the root of the draws. Adds
+    ``p``, ``draws`` and ``nes``, the score over the mean random one.
     """
     spark = scores.sparkSession
-    sizes = scores.select(F.col(size).alias("_size")).distinct().filter(F.col("_size").between(1, n_ranked - 1))
-    block = 50
-    work = sizes.crossJoin(spark.range(-(-permutations // block)).withColumnRenamed("id", "_block"))
+    block = 64
 
     def draw(batches):
         for batch in batches:
             for n, number in zip(batch["_size"], batch["_block"]):
                 rng = np.random.default_rng([seed, int(n), int(number)])
-                count = min(block, permutations - int(number) * block)
-                ranks = np.sort(np.argpartition(rng.random((count, n_ranked)), n - 1, axis=1)[:, :n] + 1, axis=1)
                 i = np.arange(1, n + 1)
                 up, down = np.sqrt((n_ranked - n) / n), np.sqrt(n / (n_ranked - n))
-                at = i * up - (ranks - i) * down
-                top, low = at.max(axis=1), (at - up).min(axis=1)
-                yield pd.DataFrame({"_size": np.int64(n), "_null": np.maximum(np.abs(top), np.abs(low))})
-
-    null = work.mapInPandas(draw, "_size long, _null double").groupBy("_size").agg(F.array_sort(F.collect_list("_null")).alias("_null"))
-    joined = scores.join(null, F.col(size) == F.col("_size"), "left")
-    hits = F.size(F.filter("_null", lambda x: x >= F.abs(F.col(score))))
-    return joined.withColumn("p", (hits + 1) / (permutations + 1.0)).withColumn("nes", F.col(score) / F.aggregate("_null", F.lit(0.0), lambda a, x: a + x) * F.size("_null")).drop("_size", "_null")
+                null = np.empty(block)
+                for j in range(block):
+                    ranks = np.sort(rng.choice(n_ranked, int(n), replace=False, shuffle=False)) + 1
+                    at = i * up - (ranks - i) * down
+                    null[j] = max(abs(at.max()), abs((at - up).min()))
+                yield pd.DataFrame({"_size": np.int64(n), "_null": null})
+
+    known = checkpointed(scores.filter(F.col(size).between(1, n_ranked - 1)).select(set_key, F.col(size).cast("long").alias("_size"), F.abs(score).alias("_x")))
+    open_, first, more, counts = known, 0, -(-permutations // block), None
+    while True:
+        work = open_.select("_size").distinct().crossJoin(spark.range(first, first + more).withColumnRenamed("id", "_block"))
+        null = checkpointed(work.repartition("_size", "_block").mapInPandas(draw, "_size long, _null double"))
+        met = open_.join(null, "_size").groupBy(set_key).agg(F.count(F.when(F.col("_null") >= F.col("_x"), 1)).alias("_hits"), F.count("*").alias("draws"), F.sum("_null").alias("_sum"))
+        counts = met if counts is None else counts.unionByName(met).groupBy(set_key).agg(*[F.sum(c).alias(c) for c in ("_hits", "draws", "_sum")])
+        counts = checkpointed(counts)
+        first += more
+        undecided = counts.filter((F.col("_hits") < least_hits) & (F.col("draws") == first * block))
+        if first * block >= most or undecided.isEmpty():
+            break
+        # All sets of a size share its draws.
+        sizes = known.join(undecided.select(set_key), set_key, "left_semi").select("_size").distinct()
+        open_, more = known.join(sizes, "_size", "left_semi"), min(first, most // block - first)
+    mean = F.col("_sum") / F.col("draws")
+    return scores.join(counts, set_key, "left").withColumn("p", (F.col("_hits") + 1) / (F.col("draws") + 1.0)).withColumn("nes", F.col(score) / mean).drop("_hits", "_sum")

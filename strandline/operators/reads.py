@@ -94,6 +94,27 @@ def genotypes(bases: DataFrame, *, by: list[str], is_alt: Column, quality: Colum
     return scored.select(*by, "depth", "n_alt", (F.array_position("_p", best) - 1).cast("int").alias("genotype"), F.least(F.lit(999.0), 10 * (best - other) / math.log(10)).alias("quality"))
 
 
+def genotype_likelihoods(bases: DataFrame, *, by: list[str], is_alt: Column, quality: Column) -> DataFrame:
+    """Likelihoods of the three genotypes of each site, scaled by Phred, the likeliest being 0: depth, ``pl``."""
+    error = F.pow(F.lit(10.0), -F.greatest(F.least(quality.cast("double"), F.lit(60.0)), F.lit(1.0)) / 10)
+    rows = bases.withColumn("_alt", is_alt).withColumn("_e", error)
+    ref = F.when(F.col("_alt"), F.log("_e")).otherwise(F.log(1 - F.col("_e")))
+    alt = F.when(F.col("_alt"), F.log(1 - F.col("_e"))).otherwise(F.log("_e"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("depth"), F.array(F.sum(ref), F.count("*") * math.log(0.5), F.sum(alt)).alias("_l"))
+    return sums.select(*by, "depth", F.transform("_l", lambda x: F.round(-10 * (x - F.array_max("_l")) / math.log(10)).cast("long")).alias("pl"))
+
+
+def strand_bias(bases: DataFrame, *, by: list[str], is_alt: Column, is_reverse: Column, most: float = 10.8276) -> DataFrame:
+    """Chi-square of allele by strand at each site, 0 where a side is empty, and whether it is above ``most`` (one in a thousand)."""
+    n = lambda a, r: F.count(F.when((is_alt if a else ~is_alt) & (is_reverse if r else ~is_reverse), 1))
+    t = bases.groupBy(*by).agg(n(True, True).alias("_a"), n(True, False).alias("_b"), n(False, True).alias("_c"), n(False, False).alias("_d"))
+    a, b, c, d = (F.col(x) for x in ("_a", "_b", "_c", "_d"))
+    sides = (a + b) * (c + d) * (a + c) * (b + d)
+    odds = a * d - b * c
+    found = t.select(*by, (a + b + c + d).alias("depth"), F.when(sides > 0, (a + b + c + d).cast("double") * odds * odds / sides).otherwise(0.0).alias("chi_square"))
+    return found.withColumn("biased", F.col("chi_square") > most)
+
+
 def contrast_sites(tumour: DataFrame, normal: DataFrame, *, on: list[str], least: float = 6.3, most_normal: float = 0.03) -> DataFrame:
     """Tumour sites scored against the normal: log-odds that the alternative is there at its
     own frequency rather than as errors of one in a thousand, and a verdict.

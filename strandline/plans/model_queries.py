@@ -103,12 +103,25 @@ def set_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enrichment scores of the reference sets along all called genes, with permutation p-values."""
     ranked = testing.ranked_all(_called_genes(spark, sf_dir), score="n", key="gene")
     scored = testing.enrichment_scores(ranked, _set_members(spark, sf_dir), set_key="set_key")
-    tested = models.permutation_p_values(scored, set_key="set_key", size="n_hits", score="es", n_ranked=ranked.count(), permutations=500)
+    tested = models.permutation_p_values(scored, set_key="set_key", size="n_hits", score="es", n_ranked=ranked.count())
     return testing.adjust_p_values(tested.select("set_key", "n_hits", "es", "nes", "p"), p="p", family=[]).select(
         "set_key", "n_hits", F.round("es", 5).alias("es"), F.round("nes", 5).alias("nes"), F.round("p", 6).alias("p"), F.round("padj", 6).alias("padj")
     )
 
 
+def genotype_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled likelihoods of the three genotypes of each site called at least three times."""
+    found = reads.genotype_likelihoods(_observed(spark, sf_dir), by=["chrom", "pos"], is_alt=F.col("is_alt"), quality=F.col("qual"))
+    return found.filter(F.col("depth") >= 3).select("chrom", "pos", F.col("pl")[0].alias("pl0"), F.col("pl")[1].alias("pl1"), F.col("pl")[2].alias("pl2"))
+
+
+def strand_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether alternatives lean to one cohort, taken as strands, at sites called four times or more."""
+    rows = _observed(spark, sf_dir).join(calls(spark, sf_dir, "cohort"), "record_id").withColumn("is_reverse", F.col("cohort") == "control")
+    found = reads.strand_bias(rows.filter(F.col("is_reverse").isNotNull()), by=["chrom", "pos"], is_alt=F.col("is_alt"), is_reverse=F.col("is_reverse"))
+    return found.filter(F.col("depth") >= 4).select("chrom", "pos", "depth", F.round("chi_square", 5).alias("chi_square"), "biased")
+
+
 def neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted edges between each vector and its five nearest."""
     return _edges(spark, sf_dir).select("src", "dst", F.round("weight", 6).alias("weight"))
@@ -154,6 +167,8 @@ QUERIES = {
         vector_components,
         expression_models,
         set_p_values,
+        genotype_likelihoods,
+        strand_bias,
         neighbour_edges,
         label_autocorrelation,
         neighbour_communities,
@@ -176,6 +191,14 @@ SQL = {
       b AS (SELECT *, greatest(l0, l1, l2) AS best FROM l)
       SELECT chrom, pos, depth, n_alt, CASE best WHEN l0 THEN 0 WHEN l1 THEN 1 ELSE 2 END AS genotype,
         round(least(999.0, 10 * (best - CASE best WHEN l0 THEN greatest(l1, l2) WHEN l1 THEN greatest(l0, l2) ELSE greatest(l0, l1) END) / ln(10)), 3) AS quality FROM b""",
+    "genotype_likelihoods": f"""WITH {_OBSERVED}, e AS (SELECT chrom, pos, is_alt, pow(10.0, -greatest(least(CAST(qual AS DOUBLE), 60.0), 1.0) / 10) AS e FROM observed),
+      l AS (SELECT chrom, pos, sum(CASE WHEN is_alt THEN ln(e) ELSE ln(1 - e) END) AS l0, count(*) * ln(0.5) AS l1, sum(CASE WHEN is_alt THEN ln(1 - e) ELSE ln(e) END) AS l2 FROM e GROUP BY chrom, pos HAVING count(*) >= 3),
+      b AS (SELECT *, greatest(l0, l1, l2) AS m FROM l)
+      SELECT chrom, pos, CAST(round(-10 * (l0 - m) / ln(10)) AS BIGINT) AS pl0, CAST(round(-10 * (l1 - m) / ln(10)) AS BIGINT) AS pl1, CAST(round(-10 * (l2 - m) / ln(10)) AS BIGINT) AS pl2 FROM b""",
+    "strand_bias": f"""WITH {_OBSERVED}, t AS (SELECT chrom, pos, count(*) FILTER (is_alt AND cohort = 'control') AS a, count(*) FILTER (is_alt AND cohort <> 'control') AS b, count(*) FILTER (NOT is_alt AND cohort = 'control') AS c, count(*) FILTER (NOT is_alt AND cohort <> 'control') AS d
+        FROM observed WHERE cohort IS NOT NULL GROUP BY chrom, pos HAVING count(*) >= 4),
+      x AS (SELECT *, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN CAST(a + b + c + d AS DOUBLE) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d)) ELSE 0.0 END AS q FROM t)
+      SELECT chrom, pos, a + b + c + d AS depth, round(q, 5) AS chi_square, q > 10.8276 AS biased FROM x""",
     "tumour_sites": f"""WITH {_OBSERVED}, s AS (SELECT panel, chrom, pos, count(*) AS d, count(*) FILTER (is_alt) AS a FROM observed GROUP BY ALL),
       b AS (SELECT t.chrom, t.pos, t.d AS t_depth, t.a AS t_alt, n.d AS n_depth, n.a AS n_alt, {_ODDS("t.d", "t.a")} AS lod FROM s t JOIN s n ON t.chrom = n.chrom AND t.pos = n.pos AND t.panel = 'tumor' AND n.panel = 'germline')
       SELECT chrom, pos, t_depth, t_alt, n_depth, n_alt, round(lod, 5) AS lod, CASE WHEN lod < 6.3 THEN 'weak' WHEN n_alt / n_depth > 0.03 THEN 'in_normal' ELSE 'pass' END AS verdict FROM b""",

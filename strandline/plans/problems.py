@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators.fields import segment_fields
 from strandline.operators.intervals import periods_and_gaps
 from strandline.operators.loading import good_records, parse_lines, rejected_lines
+from strandline.session import checkpointed
 from strandline.tables import canonical_chrom, canonical_chrom_sql, table
 
 
@@ -77,7 +78,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good lines by format: how many, and the sums of their typed columns."""
-    parsed = parse_lines(table(spark, sf_dir, "raw_lines"))
+    parsed = checkpointed(parse_lines(table(spark, sf_dir, "raw_lines")))
     peaks = good_records(parsed, "narrowpeak").agg(F.lit("narrowpeak").alias("fmt"), F.count("*").alias("n_good"), F.round(F.sum("signal"), 3).alias("total"), F.sum(F.col("end") - F.col("start")).alias("span"))
     calls = good_records(parsed, "vcf").agg(F.lit("vcf").alias("fmt"), F.count("*").alias("n_good"), F.round(F.sum("qual"), 3).alias("total"), F.sum("pos").alias("span"))
     sets = good_records(parsed, "gmt").agg(F.lit("gmt").alias("fmt"), F.count("*").alias("n_good"), F.lit(None).cast("double").alias("total"), F.sum(F.size("genes")).cast("long").alias("span"))

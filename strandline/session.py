@@ -28,11 +28,13 @@ def local_session(cores: int = 8, *, memory: str = "8g", app: str = "strandline"
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's own where it names one.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, a laptop) gets a
-    temporary folder.
+    Only a local session without ``spark.checkpoint.dir`` (tests, a laptop) gets a
+    temporary folder; on a cluster that would be one machine's own, so it must be set.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():

@@ -14,11 +14,16 @@ def chromosome_order(chrom: Column) -> Column:
     return F.struct(F.coalesce(bare.try_cast("int"), F.lit(1000)).alias("number"), bare.alias("name"))
 
 
-def summary_document(parts: dict[str, DataFrame]) -> DataFrame:
+def summary_document(parts: dict[str, DataFrame], *, most: int = 100_000) -> DataFrame:
     """One row with the column ``json``: each (small) summary as a list of its rows.
 
-    NaN becomes null. Summaries are reports; their rows are gathered in one value.
+    NaN becomes null. Summaries are reports; their rows are gathered in one value, so
+    one of more than ``most`` rows is refused before any is gathered.
     """
+    for name, part in parts.items():
+        if part.limit(most + 1).count() > most:
+            raise ValueError(f"{name} is no summary: it has more than {most} rows")
+
 
     def listed(name: str, part: DataFrame) -> DataFrame:
         clean = [F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in part.dtypes]

@@ -75,7 +75,7 @@ def test_principal_components(spark):
     data = rng.normal(size=(80, 3)) @ np.diag([5.0, 1.0, 0.1]) + 7
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)] + [(99, None)], "id int, v array<double>")
     got = models.principal_components(df, vector="v", k=2, keep=["id"]).orderBy("id").collect()
-    centred = data - data.mean(0)
+    centred = (data - data.mean(0)) / data.std(0, ddof=1)
     _, _, vt = np.linalg.svd(centred, full_matrices=False)
     for i in range(2):
         mine, plain = np.array([r[f"pc{i + 1}"] for r in got]), centred @ vt[i]
@@ -104,10 +104,29 @@ def test_set_p_values_use_the_whole_ranking(spark, monkeypatch):
     monkeypatch.setattr(Q, "_set_members", lambda *_: members)
     (got,) = Q.set_p_values(spark, "").collect()
     # The last twenty of 1500 genes: a low beyond the thousandth rank.
-    assert got.n_hits == 20 and got.es == pytest.approx(-math.sqrt(20 * 1480), abs=1e-4) and got.p == pytest.approx(1 / 501, abs=1e-6)
+    assert got.n_hits == 20 and got.es == pytest.approx(-math.sqrt(20 * 1480), abs=1e-4) and got.p == pytest.approx(1 / 2049, abs=1e-6)
 
 
 def test_permutation_p_values(spark):
     scores = spark.createDataFrame([("strong", 10, 25.0), ("weak", 10, 1.0), ("empty", 0, 0.0)], "k string, n long, es double")
     got = {r.k: r for r in models.permutation_p_values(scores, set_key="k", size="n", score="es", n_ranked=100, permutations=200).collect()}
     assert got["strong"].p < 0.05 and got["weak"].p > 0.9 and got["strong"].nes > 1.5
+    assert got["weak"].draws == got["strong"].draws and got["empty"].p is None
+
+
+def test_small_p_values_rest_on_more_draws(spark):
+    """Within three standard errors of a much larger simulation."""
+    scores = spark.createDataFrame([("a", 5, 40.0), ("b", 5, 20.0), ("c", 7, 3.0)], "k string, n long, es double")
+    got = {r.k: r for r in models.permutation_p_values(scores, set_key="k", size="n", score="es", n_ranked=300, permutations=64, most=4096).collect()}
+    assert got["a"].draws >= got["c"].draws
+    rng = np.random.default_rng(9)
+    n, size = 300, 5
+    null = []
+    for _ in range(20_000):
+        ranks, i = np.sort(rng.choice(n, size, replace=False)) + 1, np.arange(1, size + 1)
+        up, down = np.sqrt((n - size) / size), np.sqrt(size / (n - size))
+        at = i * up - (ranks - i) * down
+        null.append(max(abs(at.max()), abs((at - up).min())))
+    for k, es in (("a", 40.0), ("b", 20.0)):
+        true = np.mean(np.array(null) >= es)
+        assert abs(got[k].p - true) <= 3 * math.sqrt(true * (1 - true) / got[k].draws) + 2 / got[k].draws
