@@ -96,7 +96,14 @@ def poisson_log10_tail(k: Column, rate: Column, cap: float = 300.0) -> Column:
     below = F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.least(k, F.lit(50)) - 1, F.lit(0))), F.lit(0.0), lambda a, i: a + F.exp(i * F.log(rate) - rate - ln_gamma(i.cast("double") + 1.0))
     )
-    exact = 1.0 - below
+    # Above the rate the tail itself is summed, as one less the rest would cancel.
+    above = F.aggregate(
+        F.sequence(F.lit(1), F.lit(150)),
+        F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")),
+        lambda a, j: F.struct((a["sum"] + a["term"] * rate / (k + j)).alias("sum"), (a["term"] * rate / (k + j)).alias("term")),
+        lambda a: a["sum"],
+    )
+    exact = F.when(k > rate, above * F.exp(k * F.log(rate) - rate - ln_gamma(k.cast("double") + 1.0))).otherwise(1.0 - below)
     z = (k - 0.5 - rate) / F.sqrt(rate)
     tail = F.when(k < 50, exact).otherwise(0.5 * erfc(z / math.sqrt(2.0)))
     return F.when((k <= 0) | (rate <= 0), 0.0).when(k.isNotNull() & rate.isNotNull(), F.least(F.lit(cap), -F.log10(F.greatest(tail, F.lit(10.0**-cap)))))

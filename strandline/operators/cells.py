@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.ordering import numbered
+from strandline.session import checkpointed
+
 #: Rows of a block of the nearest-neighbour grid.
 BLOCK_ROWS = 20_000
 
@@ -116,6 +119,63 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, *, key: str, vector:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("query").alias(key), "neighbour", "rank", "distance")
 
 
+def _bandwidth(distances: np.ndarray, nearest: float, target: float, rounds: int = 64) -> float:
+    """The width at which weights exp(-(d - nearest) / width) add up to the target, by bisection."""
+    low, high, width = 0.0, np.inf, 1.0
+    away = np.maximum(distances - nearest, 0.0)
+    for _ in range(rounds):
+        total = np.exp(-away / width).sum()
+        if abs(total - target) < 1e-5:
+            break
+        if total > target:
+            high = width
+            width = (low + high) / 2
+        else:
+            low = width
+            width = width * 2 if np.isinf(high) else (low + high) / 2
+    return width
+
+
+def local_weights(neighbours: DataFrame, *, key: str) -> DataFrame:
+    """Directed weights of a neighbour table (key, neighbour, distance): exp(-(d - nearest) /
+    width) with each row's own width, so that its k weights add up to log2(k); adds ``weight``."""
+
+    @F.pandas_udf("array<double>")
+    def weighed(distances: pd.Series) -> pd.Series:
+        out = []
+        for d in distances:
+            d = np.asarray(d, float)
+            out.append(np.exp(-np.maximum(d - d[0], 0.0) / _bandwidth(d, d[0], np.log2(len(d)))))
+        return pd.Series(out)
+
+    rows = neighbours.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("_n"))
+    zipped = rows.select(key, F.explode(F.arrays_zip("_n", weighed("_n.distance").alias("w"))).alias("_x"))
+    return zipped.select(key, F.col("_x._n.neighbour").alias("neighbour"), F.col("_x._n.distance").alias("distance"), F.col("_x.w").alias("weight"))
+
+
+def projected_neighbours(df: DataFrame, *, key: str, vector: str, k: int, width: int, projections: int = 20, reach: int = 15, seed: int = 3) -> DataFrame:
+    """The k nearest of each row among those that lie within ``reach`` places of it in one of
+    ``projections`` random orders; approximate, with exact distances and ties by key.
+
+    All projections are ranked in one range sort; rows at most ``reach`` apart meet by
+    their places, so the pairs are 2 ``reach`` a row and projection at most, whatever
+    the data. Vectors that are null or not ``width`` long are left out.
+    """
+    rows = df.filter(F.size(vector) == width).select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_v"))
+    axes = np.random.default_rng(seed).normal(size=(projections, width))
+    dot = lambda axis: F.aggregate(F.zip_with("_v", F.array(*[F.lit(float(a)) for a in axis]), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x)
+    laid = rows.select("_key", F.posexplode(F.array(*[dot(axis) for axis in axes])).alias("_p", "_x"))
+    places = checkpointed(numbered(laid, ["_p"], ["_x", "_key"]).select("_p", "_i", "_key"))
+    ahead = places.select("_p", "_key", F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + reach)).alias("_i"))
+    met = ahead.join(places.withColumnRenamed("_key", "_other"), ["_p", "_i"]).select(F.least("_key", "_other").alias("_a"), F.greatest("_key", "_other").alias("_b")).distinct()
+    side = lambda name, v: rows.select(F.col("_key").alias(name), F.col("_v").alias(v))
+    square = F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+    pairs = met.join(side("_a", "_x"), "_a").join(side("_b", "_y"), "_b").select("_a", "_b", F.sqrt(square).alias("distance"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("_a").alias("query"), F.col("_b").alias("neighbour")), F.struct(F.col("_b").alias("query"), F.col("_a").alias("neighbour")))).alias("_x"), "distance").select("_x.*", "distance")
+    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(key), "neighbour", "rank", "distance")
+
+
 def fuzzy_edges(neighbours: DataFrame, *, key: str) -> DataFrame:
     """Undirected edges of a neighbour table with weights a + b - ab of exp(-d) both ways."""
     directed = neighbours.select(F.least(key, "neighbour").alias("src"), F.greatest(key, "neighbour").alias("dst"), F.exp(-F.col("distance")).alias("_w"), (F.col(key) < F.col("neighbour")).alias("_f"))

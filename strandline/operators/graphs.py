@@ -1,11 +1,15 @@
-"""Edge tables: autocorrelation and communities."""
+"""Edge tables: autocorrelation, also against random placements, and communities."""
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.ordering import numbered
 from strandline.session import checkpointed
 
 
@@ -43,3 +47,43 @@ def communities(edges: DataFrame, *, rounds: int = 10) -> DataFrame:
         if moved.isEmpty():
             break
     return labels
+
+
+def shuffles(permutations: int, seed: int = 1) -> list[tuple[int, int]]:
+    """Factors and offsets of the maps i -> (a i + b) mod n, which are permutations for every
+    n below 2 ** 31: the factors are primes above that, so that nothing needs to be sorted."""
+    rng, out = random.Random(seed), []
+    while len(out) < permutations:
+        a = rng.randrange(2**31 + 1, 2**31 + 2**28, 2)
+        if all(a % d for d in range(3, math.isqrt(a) + 1, 2)):
+            out.append((a, rng.randrange(2**31)))
+    return out
+
+
+def moran_permutations(edges: DataFrame, values: DataFrame, *, node: str, value: str, permutations: int = 99, seed: int = 1) -> DataFrame:
+    """Moran's I, and the part of random placements of the values with at least as high a one:
+    ``n_nodes``, ``moran``, ``p`` = (hits + 1) / (permutations + 1).
+
+    Nodes are numbered once; in each placement node i takes the value of node
+    (a i + b) mod n, so a placement is a join and its sum a partial aggregate. Edges
+    of nodes without a value are left out, as are nodes without edges from the sums.
+    """
+    nodes = values.select(F.col(node).alias("_node"), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    placed = checkpointed(numbered(nodes, [], ["_node"]))
+    n, mean, variance = placed.agg(F.count("*"), F.avg("_v"), F.var_pop("_v")).first()
+    known = placed.select("_i", (F.col("_v") - F.lit(mean or 0.0)).alias("_z"))
+    end = lambda name: placed.select(F.col("_node").alias(name), F.col("_i").alias(f"_{name}"))
+    ends = checkpointed(edges.join(end("src"), "src").join(end("dst"), "dst").select("_src", "_dst", "weight"))
+    total = ends.agg(F.sum("weight")).first()[0] or 0.0
+    maps = F.array(*[F.struct(F.lit(p).alias("_p"), F.lit(a).cast("long").alias("_a"), F.lit(b).cast("long").alias("_b")) for p, (a, b) in enumerate([(1, 0), *shuffles(permutations, seed)])])
+    moved = lambda c: (F.col("_x._a") * F.col(c) + F.col("_x._b")) % F.lit(max(n, 1))
+    tried = ends.withColumn("_x", F.explode(maps)).select(F.col("_x._p").alias("_p"), "weight", moved("_src").alias("_s"), moved("_dst").alias("_d"))
+    side = lambda c, z: known.select(F.col("_i").alias(c), F.col("_z").alias(z))
+    sums = tried.join(side("_s", "_y"), "_s").join(side("_d", "_z"), "_d").groupBy("_p").agg(F.sum(F.col("weight") * F.col("_y") * F.col("_z")).alias("_n"))
+    own = F.max(F.when(F.col("_p") == 0, F.col("_n")))
+    return sums.agg(own.alias("_own"), F.collect_list("_n").alias("_all")).select(
+        F.lit(n).alias("n_nodes"),
+        F.try_divide(F.col("_own"), F.lit(total * (variance or 0.0))).alias("moran"),
+        # The true placement is one of those counted.
+        (F.size(F.filter("_all", lambda x: x >= F.col("_own") - 1e-9)) / F.lit(permutations + 1.0)).alias("p"),
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.functions.stats import poisson_log10_tail
 from strandline.operators.intervals import BLOCK_WIDTH, periods_and_gaps
 from strandline.operators.ordering import BLOCK_ROWS, in_blocks, numbered, running
 
@@ -131,3 +132,34 @@ def filled_bins(df: DataFrame, *, entity: str, position: str, width: int) -> Dat
     counted = df.groupBy(entity, F.floor(F.col(position) / width).alias("bin")).agg(F.count("*").alias("n_rows"))
     all_bins = counted.groupBy(entity).agg(F.max("bin").alias("_last")).select(entity, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("bin"))
     return all_bins.join(counted, [entity, "bin"], "left").select(entity, "bin", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+def call_peaks(tags: DataFrame, lengths: DataFrame, *, start: str, is_reverse: Column, shift: int = 0, extend: int = 200, least: float = 5.0, window: int = 200) -> DataFrame:
+    """Peaks where tags crowd: windows of ``window`` bases, half a window apart, whose
+    coverage has a Poisson score (-log10 of the tail) above ``least``.
+
+    ``tags``: chrom and 0-based ``start``; each is shifted along its strand, extended
+    and cut at the chromosome's ends (``lengths``: chrom, length). Coverage counts in
+    bins of half a window, so a base adds one to two windows and no base is a row.
+    The rate is that of the tags over all bases, a window wide. Windows next to each
+    other are one peak, which ends with the first window that fails (or with the
+    chromosome); peaks that overlap or touch are one. Result: chrom, start_pos, end_pos, summit
+    (start of the best window), height, score, fold.
+    """
+    half = window // 2
+    placed = tags.select("chrom", (F.col(start) + F.when(is_reverse, -shift).otherwise(shift)).alias("_at")).join(lengths, "chrom")
+    begin = F.greatest("_at", F.lit(0))
+    spans = placed.select("chrom", "length", begin.alias("_b"), F.least(F.greatest(F.col("_at") + extend, begin + 1), F.col("length")).alias("_e")).filter("_b < _e")
+    rate = spans.agg(F.count("*").alias("_tags")).crossJoin(lengths.agg(F.sum("length").alias("_all"))).select((F.col("_tags") / F.col("_all") * window).alias("_rate"))
+    bins = spans.select("chrom", "length", "_b", "_e", F.explode(F.sequence(F.floor(F.col("_b") / half), F.floor((F.col("_e") - 1) / half))).alias("_k"))
+    bases = F.least("_e", (F.col("_k") + 1) * half) - F.greatest("_b", F.col("_k") * half)
+    covered = bins.groupBy("chrom", "length", "_k").agg(F.sum(bases).alias("_n"))
+    sums = covered.withColumn("_w", F.explode(F.array("_k", F.col("_k") - 1))).filter((F.col("_w") >= 0) & (F.col("_w") * half + window <= F.col("length"))).groupBy("chrom", "length", "_w").agg(F.sum("_n").alias("_n"))
+    scored = sums.crossJoin(rate).withColumn("_score", poisson_log10_tail(F.col("_n"), F.col("_rate"))).filter(F.col("_score") > least)
+    steps = scored.select("chrom", "length", F.col("_w").alias("_from"), (F.col("_w") + 1).alias("_to"), F.col("_n").alias("height"), F.col("_w").alias("_best"), F.col("_score").alias("score"), (F.col("_n") / F.col("_rate")).alias("fold"))
+    keep = ["_best", "score", "fold", "length"]
+    runs = merge_keeping_best(steps, entity=["chrom"], start="_from", end="_to", best="height", keep=keep)
+    last = F.floor((F.col("length") - window) / half)
+    ends = F.when(F.col("_to") > last, F.col("length")).otherwise(F.col("_to") * half + window)
+    peaks = runs.select("chrom", (F.col("_from") * half).alias("start_pos"), ends.alias("end_pos"), (F.col("_best") * half).alias("summit"), "height", "score", "fold")
+    return merge_keeping_best(peaks, entity=["chrom"], start="start_pos", end="end_pos", best="height", keep=["summit", "score", "fold"]).drop("n_merged")

@@ -13,13 +13,14 @@ BASES = "ACGT"
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """SAM text: name, flag, chrom, pos (1-based), mapq, cigar, seq, qual; headers left out."""
+    """SAM text: name, flag, chrom, pos (1-based), mapq, cigar, seq, qual, and the tags mm and ml; headers left out."""
     part = lambda i: F.get(F.split("value", "\t"), F.lit(i))
     rows = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.size(F.split("value", "\t")) >= 11))
-    return rows.select(
+    found = rows.select(
         part(0).alias("name"), part(1).try_cast("int").alias("flag"), part(2).alias("chrom"), part(3).try_cast("long").alias("pos"), part(4).try_cast("int").alias("mapq"),
-        part(5).alias("cigar"), part(9).alias("seq"), part(10).alias("qual"),
+        part(5).alias("cigar"), part(9).alias("seq"), part(10).alias("qual"), "value",
     )
+    return with_tags(found, "value").drop("value")
 
 
 def usable_reads(reads: DataFrame, *, least_mapq: int = 20) -> DataFrame:
@@ -130,3 +131,53 @@ def contrast_sites(tumour: DataFrame, normal: DataFrame, *, on: list[str], least
     scored = both.withColumn("lod", odds(F.col("t_depth"), F.col("t_alt"))).withColumn("normal_part", F.col("n_alt") / F.col("n_depth"))
     verdict = F.when(F.col("lod") < least, "weak").when(F.col("normal_part") > most_normal, "in_normal").otherwise("pass")
     return scored.withColumn("verdict", verdict)
+
+
+def with_tags(rows: DataFrame, line: str) -> DataFrame:
+    """Adds ``mm`` and ``ml`` of a SAM line: the base modifications' places and their bytes."""
+    tag = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+    return rows.withColumn("mm", tag(r"\tMM:Z:([^\t]*)")).withColumn("ml", F.transform(F.split(tag(r"\tML:B:C,([0-9,]+)"), ","), lambda x: x.try_cast("int")))
+
+
+def methylation_calls(reads: DataFrame, *, least: float = 0.0) -> DataFrame:
+    """5-methylcytosines of long reads: chrom, pos (1-based), ``probability``, is_reverse.
+
+    Of ``mm`` the first clause for C+m counts: how many cytosines to skip before each
+    modified one, in the read's own direction, so on reversed reads guanines from the
+    end. Its probabilities are the bytes of ``ml`` behind those of the clauses
+    before, over 255. Places come to the reference by the CIGAR; inserted and clipped
+    ones are left out, as are places that the read does not have.
+    """
+    clauses = F.filter(F.split("mm", ";"), lambda c: c != "")
+    is_m = lambda c: c.rlike(r"^C\+m[.?]?(,|$)")
+    skips = lambda c: F.filter(F.transform(F.slice(F.split(c, ","), F.lit(2), F.size(F.split(c, ","))), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    first = F.array_position(F.transform(clauses, is_m), F.lit(True)).cast("int")
+    rows = reads.withColumn("_first", first).filter(F.col("_first") > 0).withColumn("_clauses", clauses)
+    rows = rows.withColumn("_skips", skips(F.element_at("_clauses", F.col("_first"))))
+    rows = rows.withColumn("_before", F.aggregate(F.slice("_clauses", F.lit(1), F.col("_first") - 1), F.lit(0), lambda n, c: n + F.size(skips(c))))
+    is_reverse = F.col("flag").bitwiseAND(F.lit(REVERSE)) != 0
+    base = F.when(is_reverse, "G").otherwise("C")
+    sites = F.filter(F.sequence(F.lit(1), F.length("seq")), lambda i: F.upper(F.col("seq")).substr(i, F.lit(1)) == F.col("_base"))
+    rows = rows.filter(F.length("seq") > 0).withColumn("_base", base).withColumn("_sites", sites)
+    rows = rows.withColumn("_sites", F.when(is_reverse, F.reverse("_sites")).otherwise(F.col("_sites")))
+    # Each modified cytosine's number among all: the skips so far and the modified ones before.
+    numbers = F.transform("_skips", lambda _, i: F.aggregate(F.slice("_skips", F.lit(1), i + 1), F.lit(0), lambda n, x: n + x) + i + 1)
+    places = rows.withColumn("_numbers", numbers).select("*", F.posexplode("_numbers").alias("_i", "_number"))
+    at = F.when(F.col("_number") <= F.size("_sites"), F.get("_sites", F.col("_number") - 1))
+    placed = places.withColumn("_at", at).withColumn("probability", F.get("ml", F.col("_before") + F.col("_i")) / 255.0).filter(F.col("_at").isNotNull() & F.col("probability").isNotNull())
+    start = F.struct(F.lit(1).alias("q"), F.lit(0).alias("r"), F.lit(None).cast("int").alias("found"))
+
+    def step(s: Column, o: Column) -> Column:
+        query, reference = o["op"].isin("M", "=", "X", "I", "S"), o["op"].isin("M", "=", "X", "D", "N")
+        here = o["op"].isin("M", "=", "X") & (F.col("_at") >= s["q"]) & (F.col("_at") < s["q"] + o["n"])
+        found = F.when(here, s["r"] + F.col("_at") - s["q"]).otherwise(s["found"])
+        return F.struct((s["q"] + F.when(query, o["n"]).otherwise(0)).alias("q"), (s["r"] + F.when(reference, o["n"]).otherwise(0)).alias("r"), found.alias("found"))
+
+    shift = F.aggregate(cigar_operations(F.col("cigar")), start, step, lambda s: s["found"])
+    found = placed.withColumn("_shift", shift).filter(F.col("_shift").isNotNull() & (F.col("probability") >= least))
+    return found.select("chrom", (F.col("pos") + F.col("_shift")).alias("pos"), "probability", is_reverse.alias("is_reverse"))
+
+
+def methylation_rows(found: DataFrame) -> DataFrame:
+    """Calls as methylation sites: chrom, start_pos (0-based), end_pos, methylation in per cent, no gene."""
+    return found.select("chrom", (F.col("pos") - 1).alias("start_pos"), F.col("pos").alias("end_pos"), (F.col("probability") * 100).alias("methylation"), F.lit(None).cast("string").alias("gene"))

@@ -153,14 +153,15 @@ def ranked_all(df: DataFrame, *, score: str, key: str) -> DataFrame:
     return placed.join(offsets, "_block").withColumn("rank", F.col("_before") + F.row_number().over(inside)).drop("_block", "_before")
 
 
-def enrichment_scores(ranked: DataFrame, sets: DataFrame, *, set_key: str, gene: str = "gene", rank: str = "rank") -> DataFrame:
+def enrichment_scores(ranked: DataFrame, sets: DataFrame, *, set_key: str, gene: str = "gene", rank: str = "rank", even: bool = False) -> DataFrame:
     """Running-sum enrichment score of each set along a ranking (ranks from 1).
 
-    A hit adds sqrt(misses / hits), a miss takes sqrt(hits / misses); the score is
+    A hit adds sqrt(misses / hits), a miss takes sqrt(hits / misses), or with ``even``
+    one over the hits and one over the misses; the score is
     the furthest from zero, which a sum reaches at a hit or right before one, so
     only hits are visited. With it, the number of leading genes up to (or from) it.
     """
-    points = _points(ranked, sets, set_key, gene, rank)
+    points = _points(ranked, sets, set_key, gene, rank, even)
     return (
         _peaks(points, set_key)
         .select(
@@ -180,7 +181,7 @@ def leading_genes(ranked: DataFrame, sets: DataFrame, *, set_key: str, gene: str
     return points.join(peaks, set_key).filter(inside).select(set_key, gene, rank)
 
 
-def _points(ranked: DataFrame, sets: DataFrame, set_key: str, gene: str, rank: str) -> DataFrame:
+def _points(ranked: DataFrame, sets: DataFrame, set_key: str, gene: str, rank: str, even: bool = False) -> DataFrame:
     """Hits of each set in order, with the running sum at (``_at``) and right before (``_ahead``) each."""
     members = sets.select(set_key, gene).distinct().join(ranked.select(gene, rank), gene)
     total = ranked.agg(F.count("*").alias("_all"))
@@ -188,6 +189,8 @@ def _points(ranked: DataFrame, sets: DataFrame, set_key: str, gene: str, rank: s
     hits = members.withColumn("_i", F.row_number().over(along)).withColumn("_n", F.count("*").over(W.partitionBy(set_key))).crossJoin(total)
     hits = hits.filter(F.col("_n") < F.col("_all"))
     up, down = F.sqrt((F.col("_all") - F.col("_n")) / F.col("_n")), F.sqrt(F.col("_n") / (F.col("_all") - F.col("_n")))
+    if even:
+        up, down = 1.0 / F.col("_n"), 1.0 / (F.col("_all") - F.col("_n"))
     at = F.col("_i") * up - (F.col(rank) - F.col("_i")) * down
     return hits.withColumn("_at", at).withColumn("_ahead", at - up)
 

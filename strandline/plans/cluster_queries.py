@@ -11,6 +11,9 @@ from strandline.plans.model_queries import _EDGES_SQL, _edges
 from strandline.plans.statistics_queries import _COUNTS, _ERFC, _counts
 from strandline.tables import table
 
+#: Random orders and their reach for the vectors' approximate neighbours.
+PROJECTIONS, REACH = 40, 25
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = _counts(spark, sf_dir).groupBy("user_id", "event_type").agg(F.sum("n").alias("m"))
@@ -72,6 +75,31 @@ def spatial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_nodes", F.round("moran", 5).alias("moran"))
 
 
+def autocorrelation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against random placements of the labels."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    weights = clusters.spatial_weights(cells.nearest_neighbours(rows, rows, key="vec_id", vector="embedding", k=5), key="vec_id")
+    found = graphs.moran_permutations(weights, rows, node="vec_id", value="label", permutations=49)
+    return found.select("n_nodes", F.round("moran", 5).alias("moran"), F.round("p", 4).alias("p"))
+
+
+def local_weight_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the weights of each vector's eight nearest add up to (three, log2 of eight) and the largest."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = cells.local_weights(cells.nearest_neighbours(rows, rows, key="vec_id", vector="embedding", k=8), key="vec_id")
+    return found.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("total"), F.round(F.max("weight"), 6).alias("largest"))
+
+
+def projected_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether random orders find nine of ten of the true ten nearest of every fiftieth vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = rows.filter(F.col("vec_id") % 50 == 0)
+    true = cells.nearest_neighbours(queries, rows, key="vec_id", vector="embedding", k=10).select("vec_id", "neighbour")
+    found = cells.projected_neighbours(rows, key="vec_id", vector="embedding", k=10, width=64, projections=PROJECTIONS, reach=REACH).select("vec_id", "neighbour", F.lit(1).alias("hit"))
+    met = true.join(found, ["vec_id", "neighbour"], "left").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+    return met.select("n_true", (F.col("n_found") >= 0.9 * F.col("n_true")).alias("enough"))
+
+
 def label_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of each vector with the mean of its label."""
     rows = table(spark, sf_dir, "embeddings")
@@ -90,7 +118,7 @@ def event_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "k", F.round("gamma", 5).alias("gamma"), F.round("fit", 4).alias("fit"), F.round("velocity", 4).alias("velocity"))
 
 
-QUERIES = {f.__name__: f for f in (cluster_markers, top_markers, cluster_talk, significant_talk, label_graph, numbered_labels, spatial_autocorrelation, label_cosines, event_velocity)}
+QUERIES = {f.__name__: f for f in (cluster_markers, top_markers, cluster_talk, significant_talk, label_graph, numbered_labels, spatial_autocorrelation, autocorrelation_test, local_weight_sums, projected_recall, label_cosines, event_velocity)}
 _LABELS = f"""{_COUNTS}, e AS (SELECT user_id, event_type, sum(n) AS m FROM counts GROUP BY user_id, event_type), k AS (SELECT user_id, arg_max(event_type, (m, event_type)) AS cluster FROM e GROUP BY user_id)"""
 _MARKERS = f"""WITH {_LABELS}, f AS (SELECT feature, user_id, sum(n) AS n FROM counts GROUP BY ALL), d AS (SELECT x.feature, k.user_id, k.cluster, coalesce(f.n, 0) AS n FROM (SELECT DISTINCT feature FROM f) x CROSS JOIN k LEFT JOIN f ON f.feature = x.feature AND f.user_id = k.user_id),
   r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY n) + (count(*) OVER (PARTITION BY feature, n) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY feature) AS cells FROM d),
@@ -114,6 +142,17 @@ SQL = {
     + """w AS (SELECT a AS src, b AS dst, 1.0 / count(*) OVER (PARTITION BY a) AS weight FROM r)
       SELECT max(n) AS n_nodes, round(sum(weight * (x.label - m) * (y.label - m)) / (sum(weight) * max(s)), 5) AS moran FROM w
       JOIN embeddings x ON x.vec_id = src JOIN embeddings y ON y.vec_id = dst, (SELECT avg(label) AS m, count(label) AS n, var_pop(label) AS s FROM embeddings)""",
+    "autocorrelation_test": _NEAR
+    + f"""w AS (SELECT a AS src, b AS dst, 1.0 / count(*) OVER (PARTITION BY a) AS weight FROM r),
+      n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, label - avg(label) OVER () AS z, count(*) OVER () AS n FROM embeddings WHERE label IS NOT NULL),
+      m(p, a, b) AS (VALUES {", ".join(f"({p}, {a}::BIGINT, {b}::BIGINT)" for p, (a, b) in enumerate([(1, 0), *graphs.shuffles(49)]))}),
+      e AS (SELECT p, weight, (m.a * s.i + m.b) % s.n AS x, (m.a * d.i + m.b) % s.n AS y FROM w JOIN n s ON s.vec_id = src JOIN n d ON d.vec_id = dst, m),
+      t AS (SELECT p, sum(weight * x.z * y.z) AS t, sum(weight) AS w FROM e JOIN n x ON x.i = e.x JOIN n y ON y.i = e.y GROUP BY p),
+      o AS (SELECT t AS own, w FROM t WHERE p = 0)
+      SELECT (SELECT count(*) FROM n) AS n_nodes, round(max(own) / (max(w_own) * (SELECT var_pop(label) FROM embeddings)), 5) AS moran, round(count(*) FILTER (t >= own - 1e-9) / count(*), 4) AS p
+      FROM t, (SELECT own, w AS w_own FROM o)""",
+    "local_weight_sums": "SELECT vec_id, 8 AS n, 3.0 AS total, 1.0 AS largest FROM embeddings",
+    "projected_recall": "SELECT 10 * count(*) AS n_true, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
     "label_cosines": """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), c AS (SELECT label, list(m ORDER BY i) AS centre FROM m GROUP BY label)
       SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre), 5) AS cosine FROM embeddings JOIN c USING (label)""",
     "event_velocity": """WITH c AS (SELECT user_id, CAST(json_extract(props, '$.k') AS INTEGER) // 10 AS k, count(*) FILTER (event_type = 'view') AS s, count(*) FILTER (event_type = 'click') AS u FROM events WHERE user_id IS NOT NULL AND json_extract(props, '$.k') IS NOT NULL GROUP BY ALL),

@@ -189,6 +189,17 @@ def read_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy((F.col("flag") == 16).alias("is_reverse")).agg(F.count("*").alias("n_reads"), F.sum(reads.query_length(F.col("cigar"))).alias("query"), F.sum(reads.reference_length(F.col("cigar"))).alias("reference"))
 
 
+def read_methylation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modified cytosines of the reads by their tags: the second, third and fifth of each read; per chromosome the sums."""
+    rows = calls(spark, sf_dir, "chrom", "pos").filter(F.col("chrom").isNotNull() & (F.col("pos") > 0))
+    number = F.col("record_id").cast("string")
+    flag = F.when(F.col("record_id") % 2 == 0, "16").otherwise("0")
+    tags = [F.lit("MM:Z:A+a,0;C+m,1,0,1;"), F.concat(F.lit("ML:B:C,9,"), (F.col("record_id") % 200).cast("string"), F.lit(",100,50"))]
+    lines = rows.select(_tabbed(number, flag, "chrom", F.col("pos").cast("string"), F.lit("60"), F.lit("12M2I3D18M"), F.lit("*"), F.lit("0"), F.lit("0"), derived_bases(number), F.lit("I" * 32), *tags))
+    sites = reads.methylation_rows(reads.methylation_calls(reads.usable_reads(reads.read_sam(spark, as_file(lines, "long")))))
+    return sites.groupBy("chrom").agg(F.count("*").alias("n_sites"), F.sum("start_pos").alias("positions"), F.round(F.avg("methylation"), 4).alias("level"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -208,6 +219,7 @@ QUERIES = {
         chromosome_order,
         read_pileup,
         read_lengths,
+        read_methylation,
     )
 }
 _P = r"'^[^\t\r\n;|]+$'"
@@ -244,5 +256,9 @@ SQL = {
     "read_pileup": f"""WITH {_READS}, b AS (SELECT chrom, rev, i, substr(s, i, 1) AS base, ascii(substr(q, i, 1)) - 33 AS ql, CASE WHEN i <= 12 THEN p + i - 1 ELSE p + i - 1 - 2 + 3 END AS pos FROM reads, range(1, 33) r(i) WHERE i <= 12 OR i >= 15),
       s AS (SELECT chrom, pos, count(*) AS depth, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'G') AS g, count(*) FILTER (rev) AS v FROM b WHERE ql >= 20 GROUP BY chrom, pos)
       SELECT chrom, count(*) AS n_sites, CAST(sum(depth) AS BIGINT) AS n_bases, max(depth) AS deepest, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(g) AS BIGINT) AS n_g, CAST(sum(v) AS BIGINT) AS n_reverse, CAST(sum(pos * depth) AS BIGINT) AS weighted FROM s GROUP BY chrom""",
+    "read_methylation": f"""WITH {CALLS}, r AS (SELECT record_id, chrom, pos AS p, record_id % 2 = 0 AS rev, {sql_bases("CAST(record_id AS VARCHAR)")} AS s FROM calls WHERE chrom IS NOT NULL AND pos > 0),
+      c AS (SELECT record_id, chrom, p, CASE WHEN rev THEN list_reverse(list_filter(range(1, 33), lambda i: s[i] = 'G')) ELSE list_filter(range(1, 33), lambda i: s[i] = 'C') END AS cs FROM r),
+      m AS (SELECT chrom, p, cs[k] AS i, CASE k WHEN 2 THEN record_id % 200 WHEN 3 THEN 100 ELSE 50 END / 255.0 AS b FROM c, (SELECT unnest([2, 3, 5]) AS k) WHERE k <= len(cs))
+      SELECT chrom, count(*) AS n_sites, CAST(sum(p - 1 + CASE WHEN i <= 12 THEN i - 1 ELSE i - 1 - 2 + 3 END) AS BIGINT) AS positions, round(avg(b * 100), 4) AS level FROM m WHERE i NOT IN (13, 14) GROUP BY chrom""",
     "read_lengths": f"WITH {_READS} SELECT rev AS is_reverse, count(*) AS n_reads, count(*) * 32 AS query, count(*) * 33 AS reference FROM reads GROUP BY rev",
 }

@@ -90,6 +90,14 @@ def summit_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.filled_bins(peaks(spark, sf_dir).filter(F.col("summit") >= 0), entity="chrom", position="summit", width=1_000_000)
 
 
+def covered_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks called from the coverage of calls, positions counted in thousands."""
+    rows = _sites(spark, sf_dir).filter("pos >= 0").select("chrom", F.floor(F.col("pos") / 1000).alias("at"))
+    lengths = rows.groupBy("chrom").agg((F.max("at") + 50).alias("length"))
+    found = O.call_peaks(rows, lengths, start="at", is_reverse=F.lit(False), extend=1, least=4.0)
+    return found.select("chrom", "start_pos", "end_pos", "summit", "height", F.round("score", 4).alias("score"), F.round("fold", 5).alias("fold"))
+
+
 def call_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of chromosomes where called positions lie dense."""
     return O.dense_islands(_sites(spark, sf_dir), entity=["chrom"], position="pos", span=200, least=5)
@@ -141,6 +149,7 @@ QUERIES = {
         peak_run_summary,
         top_peaks,
         summit_density,
+        covered_peaks,
         call_islands,
         call_clusters,
         frequency_regions,
@@ -165,7 +174,19 @@ def _merged_sql(source: str, entity: str, out: str) -> str:
 
 _CN = """CASE WHEN copy_number < 0.5 THEN 'homdel' WHEN copy_number < 1.5 THEN 'hetdel' WHEN copy_number < 2.5 THEN 'diploid' WHEN copy_number < 4.5 THEN 'lowamp' WHEN copy_number IS NOT NULL THEN 'highamp' END"""
 _SITES = "sites AS (SELECT DISTINCT sample_id, chrom, pos FROM calls WHERE sample_id IS NOT NULL AND chrom IS NOT NULL AND pos IS NOT NULL)"
+_ERFC = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x)"
 SQL = {
+    "covered_peaks": f"""WITH {CALLS}, t AS (SELECT chrom, CAST(floor(pos / 1000) AS BIGINT) AS a FROM calls WHERE chrom IS NOT NULL AND pos >= 0), l AS (SELECT chrom, max(a) + 50 AS length FROM t GROUP BY chrom),
+      c AS (SELECT chrom, a // 100 AS k, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT (SELECT count(*) FROM t) / (SELECT sum(length) FROM l) * 200 AS rate),
+      w AS (SELECT c.chrom, length, k - d AS w, sum(n) AS n FROM c JOIN l USING (chrom), (SELECT unnest([0, 1]) AS d) WHERE k - d >= 0 AND (k - d) * 100 + 200 <= length GROUP BY ALL),
+      u AS (SELECT DISTINCT n, rate, (n - 0.5 - rate) / sqrt(rate) AS z FROM w, r), v AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM u),
+      q AS (SELECT n, max(rate) AS rate, least(300.0, -log10(greatest(CASE WHEN n < 50 THEN sum(exp((n + i) * ln(rate) - rate - lgamma(n + i + 1))) ELSE max(CASE WHEN z >= 0 THEN 0.5 * {_ERFC} ELSE 1 - 0.5 * {_ERFC} END) END, 1e-300))) AS score
+        FROM v, range(200) g(i) GROUP BY n),
+      s AS (SELECT chrom, length, w, n, score, n / rate AS fold, w - row_number() OVER (PARTITION BY chrom ORDER BY w) AS g FROM w JOIN q USING (n) WHERE score > 4),
+      p AS (SELECT chrom, min(w) * 100 AS start_pos, CASE WHEN max(w) + 1 > floor((max(length) - 200) / 100) THEN max(length) ELSE (max(w) + 1) * 100 + 200 END AS end_pos, arg_max(w, (n, -w)) * 100 AS summit, max(n) AS height, arg_max(score, (n, -w)) AS score, arg_max(fold, (n, -w)) AS fold FROM s GROUP BY chrom, g),
+      m AS (SELECT *, max(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p),
+      o AS (SELECT *, sum(CASE WHEN before IS NULL OR start_pos > before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS grp FROM m)
+      SELECT chrom, min(start_pos) AS start_pos, CAST(max(end_pos) AS BIGINT) AS end_pos, arg_max(summit, (height, -start_pos)) AS summit, CAST(max(height) AS BIGINT) AS height, round(arg_max(score, (height, -start_pos)), 4) AS score, round(arg_max(fold, (height, -start_pos)), 5) AS fold FROM o GROUP BY chrom, grp""",
     "peaks_in_genes": f"""WITH {PEAKS}, {GENES}, {_HITS},
       counted AS (SELECT interval_id, count(*) AS n, sum(least(end_pos, gene_end) - greatest(start_pos, gene_start)) AS b FROM hits GROUP BY interval_id)
       SELECT g.interval_id, g.gene_id, coalesce(n, 0) AS n_peaks, CAST(coalesce(b, 0) AS BIGINT) AS shared_bases FROM genes g LEFT JOIN counted c ON g.interval_id = c.interval_id""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.stats import ln_gamma
-from strandline.operators import peptides, traces
+from strandline.operators import features, peptides, traces
 from strandline.plans.views import GENES, genes
 from strandline.sources.spectra import clean_peaks
 from strandline.tables import table
@@ -113,9 +113,31 @@ def factorials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _peaks(spark, sf_dir).groupBy("scan").agg(F.count("*").alias("n")).select("scan", "n", F.round(ln_gamma(F.col("n") + 1.0), 6).alias("ln_factorial"))
 
 
+def isotope_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of scans of ten minutes that begin an isotope pattern."""
+    rows = _peaks(spark, sf_dir).withColumn("scan", F.floor(F.col("scan") / 10)).groupBy("scan", "mz").agg(F.max("intensity").alias("intensity"))
+    spectra = rows.groupBy("scan").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("_p")).select("scan", (F.col("scan") * 600.0).alias("rt"), F.col("_p.mz").alias("mz"), F.col("_p.intensity").alias("intensity"))
+    found = features.isotope_groups(spectra)
+    return found.select("scan", "mz", F.col("charge").cast("long").alias("charge"), F.col("n_isotopes").cast("long").alias("n_isotopes"))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.trace_features(features.ion_traces(_peaks(spark, sf_dir).select("scan", "rt", "mz", "intensity"), ppm=10.0, most_apart=36000.0))
+
+
+def ion_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of ions over time with an apex: where, how high, how wide."""
+    return _features(spark, sf_dir).select(F.round("mz", 3).alias("mz"), "apex", "height", "since", "until", "n_points")
+
+
+def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that no higher one covers, in one row."""
+    return features.feature_report(features.distinct_features(_features(spark, sf_dir), ppm=3000.0))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (ion_areas, library_scores, voted_peptides, base_peaks, digested_proteins, decoys_and_sites, searched_spectra, inferred_proteins, ion_library, factorials)
+    for f in (ion_areas, library_scores, voted_peptides, base_peaks, digested_proteins, decoys_and_sites, searched_spectra, inferred_proteins, ion_library, factorials, isotope_groups, ion_features, feature_report)
 }
 _PEAKS = f"""peaks AS (SELECT CAST(floor((epoch_us(ts) / 1000000 - {_START}) / 60) AS BIGINT) AS scan, 400.0::DOUBLE + CAST(json_extract(props, '$.k') AS INTEGER) AS mz, value AS intensity, user_id FROM events
   WHERE ts IS NOT NULL AND value IS NOT NULL AND json_extract(props, '$.k') IS NOT NULL),
@@ -128,6 +150,13 @@ _PROTEINS = f"""{GENES}, proteins AS (SELECT gene_id AS name, translate(md5(gene
   digested AS (SELECT DISTINCT name AS protein, peptide, n_missed FROM spans WHERE length(peptide) BETWEEN 6 AND 50),
   weighed AS (SELECT *, {peptides.WATER} + list_sum(list_transform(string_split(peptide, ''), lambda r: {_MASSES}[r])) AS mass FROM digested)"""
 _RES = lambda a, b: f"list_sum(list_transform(string_split(substr(peptide, {a}, {b}), ''), lambda r: {_MASSES}[r]))"
+_FEATURES = f"""WITH {_PEAKS}, s AS (SELECT scan * 60.0::DOUBLE AS rt, scan, mz, intensity FROM peaks),
+  j AS (SELECT *, CASE WHEN rt - lag(rt) OVER w > 36000 OR lag(rt) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM s WINDOW w AS (PARTITION BY mz ORDER BY rt, scan, intensity)),
+  t AS (SELECT *, sum(n) OVER (PARTITION BY mz ORDER BY rt, scan, intensity ROWS UNBOUNDED PRECEDING) AS trace FROM j),
+  tops AS (SELECT mz, trace, count(*) AS n_points, min(rt) AS f, max(rt) AS l, max(intensity) AS height, arg_max(rt, (intensity, -rt)) AS apex FROM t GROUP BY mz, trace),
+  kept AS (SELECT * FROM tops WHERE n_points >= 3 AND apex > f AND apex < l),
+  features AS (SELECT k.mz, k.apex, k.height, coalesce(max(t.rt) FILTER (t.rt < apex AND t.intensity < height / 2), any_value(f)) AS since, coalesce(min(t.rt) FILTER (t.rt > apex AND t.intensity < height / 2), any_value(l)) AS until, k.n_points
+    FROM kept k JOIN t ON t.mz = k.mz AND t.trace = k.trace GROUP BY k.mz, k.trace, k.apex, k.height, k.n_points)"""
 SQL = {
     "ion_areas": f"""WITH {_PEAKS}, pts AS (SELECT u.user_id, s.scan, s.rt, coalesce((SELECT sum(intensity) FROM peaks p WHERE p.scan = s.scan AND abs(p.mz - 400 - u.user_id % 100) <= (400 + u.user_id % 100) * 0.0005), 0.0) AS i
         FROM users u JOIN scans s ON abs(s.rt - u.rt) <= 3600),
@@ -153,5 +182,15 @@ SQL = {
     "inferred_proteins": f"WITH {_PROTEINS} SELECT protein, count(*) AS n_matches, count(DISTINCT peptide) AS n_peptides, round(max(mass), 3) AS best_score FROM weighed WHERE n_missed <= 1 GROUP BY protein",
     "ion_library": f"""WITH {_PROTEINS}, c AS (SELECT DISTINCT peptide, length(peptide) AS n FROM weighed WHERE n_missed = 0 AND length(peptide) >= 8)
       SELECT peptide, 2 * least(6, n - 1) AS n_ions, round({_RES("1", "1")} + {peptides.PROTON}, 4) AS "first", round({_RES("n - least(6, n - 1) + 1", "least(6, n - 1)")} + {peptides.WATER + peptides.PROTON}, 4) AS "last" FROM c""",
+    "isotope_groups": f"""WITH {_PEAKS}, p AS (SELECT DISTINCT scan // 10 AS scan, mz FROM peaks),
+      h AS (SELECT p.scan, p.mz, z, d, bool_or(abs(q.mz - (p.mz + d * 1.00335 / z)) <= (p.mz + d * 1.00335 / z) * 20 / 1e6) AS hit FROM p JOIN p q ON q.scan = p.scan, range(1, 5) a(z), range(-1, 4) b(d) WHERE d <> 0 GROUP BY ALL),
+      n AS (SELECT scan, mz, z, bool_or(hit) FILTER (d = -1) AS below, CASE WHEN NOT bool_or(hit) FILTER (d = 1) THEN 1 WHEN NOT bool_or(hit) FILTER (d = 2) THEN 2 WHEN NOT bool_or(hit) FILTER (d = 3) THEN 3 ELSE 4 END AS n FROM h GROUP BY ALL),
+      b AS (SELECT scan, mz, max(n) AS n, arg_max(z, (n, -z)) AS z, arg_max(below, (n, -z)) AS below FROM n GROUP BY ALL)
+      SELECT scan, mz, z AS charge, n AS n_isotopes FROM b WHERE n >= 2 AND NOT below""",
+    "ion_features": _FEATURES + "SELECT round(mz, 3) AS mz, apex, height, since, until, n_points FROM features",
+    "feature_report": _FEATURES
+    + """, k AS (SELECT * FROM features f WHERE NOT EXISTS (SELECT 1 FROM features o WHERE abs(o.mz - f.mz) <= f.mz * 3000 / 1e6 AND o.since <= f.until AND f.since <= o.until
+        AND (o.height > f.height OR (o.height = f.height AND (o.apex < f.apex OR (o.apex = f.apex AND o.mz < f.mz))))))
+      SELECT count(*) AS n_features, median(mz) AS median_mz, min(apex) AS first, max(apex) AS last, max(height) AS highest FROM k""",
     "factorials": f"WITH {_PEAKS} SELECT scan, count(*) AS n, round(lgamma(count(*) + 1), 6) AS ln_factorial FROM peaks GROUP BY scan",
 }

@@ -104,6 +104,12 @@ def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("set_key", "n_hits", F.round("es", 5).alias("es"))
 
 
+def set_even_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores with even steps, between minus one and one."""
+    scored = T.enrichment_scores(_ranked_genes(spark, sf_dir), _set_members(spark, sf_dir), set_key="set_key", even=True)
+    return scored.select("set_key", "n_hits", F.round("es", 6).alias("es"))
+
+
 def set_leading_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leading genes of each reference set."""
     return T.leading_genes(_ranked_genes(spark, sf_dir), _set_members(spark, sf_dir), set_key="set_key").select("set_key", "gene", F.col("rank").cast("long").alias("rank"))
@@ -171,6 +177,7 @@ QUERIES = {
         narrow_peak_markers,
         set_enrichment,
         set_scores,
+        set_even_scores,
         set_leading_genes,
         tail_functions,
         cell_quality,
@@ -197,6 +204,19 @@ SQL = {
       SELECT batch_id, gene_id, n0 AS n_first, n1 AS n_second, round(m1 - m0, 5) AS difference,
         round(CASE WHEN n0 >= 2 AND n1 >= 2 AND s0 / n0 + s1 / n1 >= 1e-30 THEN (m1 - m0) / sqrt(s0 / n0 + s1 / n1) END, 4) AS t,
         round(CASE WHEN n0 >= 2 AND n1 >= 2 AND s0 / n0 + s1 / n1 >= 1e-30 THEN pow(s0 / n0 + s1 / n1, 2) / (pow(s0 / n0, 2) / (n0 - 1) + pow(s1 / n1, 2) / (n1 - 1)) END, 4) AS df FROM s""",
+    "expression_contrast_p": f"""WITH {EXPRESSION}, widths AS (SELECT *, max(sample_no) OVER (PARTITION BY batch_id, gene_id) AS w, log2(value + 0.5) AS v FROM expression),
+      s AS (SELECT batch_id, gene_id, count(*) FILTER (sample_no <= ceil(w / 2)) AS n0, count(*) FILTER (sample_no > ceil(w / 2)) AS n1,
+        avg(v) FILTER (sample_no <= ceil(w / 2)) AS m0, avg(v) FILTER (sample_no > ceil(w / 2)) AS m1,
+        var_samp(v) FILTER (sample_no <= ceil(w / 2)) AS s0, var_samp(v) FILTER (sample_no > ceil(w / 2)) AS s1 FROM widths GROUP BY batch_id, gene_id),
+      t AS (SELECT batch_id, gene_id, m1 - m0 AS difference, CASE WHEN n0 >= 2 AND n1 >= 2 AND s0 / n0 + s1 / n1 >= 1e-30 THEN abs(m1 - m0) / sqrt(s0 / n0 + s1 / n1) END AS t,
+        pow(s0 / n0 + s1 / n1, 2) / (pow(s0 / n0, 2) / (n0 - 1) + pow(s1 / n1, 2) / (n1 - 1)) AS df FROM s),
+      -- Student's density over an angle: Simpson's rule on 1000 steps.
+      a AS (SELECT batch_id, gene_id, sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(atan(t / sqrt(df)) * i / 1000), df - 1)) * any_value(atan(t / sqrt(df))) / 3000
+        * any_value(2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi())) AS inside FROM t, range(1001) r(i) WHERE t IS NOT NULL GROUP BY batch_id, gene_id),
+      p AS (SELECT t.batch_id, t.gene_id, difference, 1 - inside AS p FROM t LEFT JOIN a ON a.batch_id = t.batch_id AND a.gene_id = t.gene_id),
+      r AS (SELECT batch_id, gene_id, p, count(*) OVER (PARTITION BY batch_id) AS m, count(*) OVER (PARTITION BY batch_id ORDER BY p) AS upto FROM p WHERE p IS NOT NULL),
+      j AS (SELECT batch_id, gene_id, least(1.0, min(p * m / upto) OVER (PARTITION BY batch_id ORDER BY p DESC)) AS padj FROM r)
+      SELECT p.batch_id, p.gene_id, round(difference, 5) AS difference, round(p, 6) AS p, round(padj, 6) AS padj FROM p LEFT JOIN j ON j.batch_id = p.batch_id AND j.gene_id = p.gene_id""",
     "sample_size_factors": f"""WITH {EXPRESSION}, refs AS (SELECT batch_id, gene_id, avg(ln(value)) AS ref FROM expression WHERE value > 0 GROUP BY batch_id, gene_id)
       SELECT e.batch_id, CAST(sample_no AS BIGINT) AS sample_no, round(median(exp(ln(value) - ref)), 5) AS size_factor FROM expression e JOIN refs r ON e.batch_id = r.batch_id AND e.gene_id = r.gene_id
       WHERE value > 0 GROUP BY e.batch_id, sample_no""",
@@ -233,6 +253,10 @@ SQL = {
         SELECT m.set_key, rank, row_number() OVER (PARTITION BY m.set_key ORDER BY rank) AS i, count(*) OVER (PARTITION BY m.set_key) AS n, (SELECT count(*) FROM ranked) AS a FROM members m JOIN ranked r ON m.gene = r.gene),
       s AS (SELECT set_key, n, i * sqrt((a - n) / n) - (rank - i) * sqrt(n / (a - n)) AS at_hit, (i - 1) * sqrt((a - n) / n) - (rank - i) * sqrt(n / (a - n)) AS ahead FROM h WHERE n < a)
       SELECT set_key, max(n) AS n_hits, round(CASE WHEN abs(max(at_hit)) >= abs(min(ahead)) THEN max(at_hit) ELSE min(ahead) END, 5) AS es FROM s GROUP BY set_key""",
+    "set_even_scores": f"""WITH {_RANKED}, h AS (
+        SELECT m.set_key, rank, row_number() OVER (PARTITION BY m.set_key ORDER BY rank) AS i, count(*) OVER (PARTITION BY m.set_key) AS n, (SELECT count(*) FROM ranked) AS a FROM members m JOIN ranked r ON m.gene = r.gene),
+      s AS (SELECT set_key, n, i / n - (rank - i) / (a - n) AS at_hit, (i - 1) / n - (rank - i) / (a - n) AS ahead FROM h WHERE n < a)
+      SELECT set_key, max(n) AS n_hits, round(CASE WHEN abs(max(at_hit)) >= abs(min(ahead)) THEN max(at_hit) ELSE min(ahead) END, 6) AS es FROM s GROUP BY set_key""",
     "set_leading_genes": f"""WITH {_RANKED}, h AS (
         SELECT m.set_key, m.gene, rank, row_number() OVER (PARTITION BY m.set_key ORDER BY rank) AS i, count(*) OVER (PARTITION BY m.set_key) AS n, (SELECT count(*) FROM ranked) AS a FROM members m JOIN ranked r ON m.gene = r.gene),
       s AS (SELECT *, i * sqrt((a - n) / n) - (rank - i) * sqrt(n / (a - n)) AS at_hit, (i - 1) * sqrt((a - n) / n) - (rank - i) * sqrt(n / (a - n)) AS ahead FROM h WHERE n < a),

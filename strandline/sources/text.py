@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators.loading import good_records, parse_lines, rejected_lines
+from strandline.operators.ordering import running
+from strandline.session import checkpointed
 
 #: Copy-number types named by a VCF's SVTYPE, and the copies inferred for them (fixed values).
 CNV_TYPES = {"CNV": 2, "DEL": 1, "DUP": 3, "GAIN": 3, "LOSS": 1}
@@ -195,6 +197,34 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(offsets, place).select("line", (F.col("_offset") + F.col("_at") - F.col("_first") + 1).alias("line_no"))
 
 
+def read_fasta_tiles(spark: SparkSession, path: str, *, width: int, margin: int, names: list[str] | None = None) -> DataFrame:
+    """Sequences of any length as tiles (chrom, tile, bases) like those of ``sequence_tiles``,
+    of the sequences with the given ``names`` only.
+
+    Lines are placed by the running sum of their lengths, so a chromosome is never
+    one row; a tile is put together from the pieces of the lines it touches, and is
+    blank where the sequence has no base.
+    """
+    lines = numbered_lines(spark, path).withColumn("_i", F.col("line_no") - 1).withColumn("line", F.trim(F.regexp_replace("line", "\r$", "")))
+    is_head = F.col("line").startswith(">")
+    size = F.when(is_head, 0).otherwise(F.length("line"))
+    placed = running(running(lines, [], size, "_sum", inclusive=False), [], F.when(is_head, F.col("line_no")), "_head", F.max)
+    placed = checkpointed(placed.select("line", "_head", F.coalesce("_sum", F.lit(0)).alias("_sum")))
+    heads = placed.filter(F.col("line").startswith(">")).select("_head", F.regexp_extract("line", r"^>\s*(\S+)", 1).alias("chrom"), F.col("_sum").alias("_base"))
+    heads = heads.filter(F.col("chrom").isin(names)) if names is not None else heads
+    rows = placed.filter(~F.col("line").startswith(">") & (F.col("line") != "")).join(heads, "_head").select("chrom", (F.col("_sum") - F.col("_base")).alias("_at"), F.upper("line").alias("_s"))
+    # A piece of a line goes to every tile whose stretch, margins included, it touches.
+    first, last = F.floor((F.col("_at") - margin) / width), F.floor((F.col("_at") + F.length("_s") - 1 + margin) / width)
+    pieces = rows.withColumn("tile", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    start = F.col("tile") * width - margin
+    begin = F.greatest(start, F.col("_at"))
+    end = F.least(start + width + 2 * margin, F.col("_at") + F.length("_s"))
+    cut = pieces.filter(begin < end).select("chrom", "tile", (begin - start).alias("_o"), F.col("_s").substr((begin - F.col("_at") + 1).cast("int"), (end - begin).cast("int")).alias("_p"), (F.col("_at") + F.length("_s")).alias("_to"))
+    whole = cut.groupBy("chrom", "tile").agg(F.sort_array(F.collect_list(F.struct("_o", "_p"))).alias("_x"), F.max("_to").alias("_to")).filter(F.col("_to") > F.col("tile") * width)
+    lead = F.repeat(F.lit(" "), F.col("_x")[0]["_o"].cast("int"))
+    return whole.select("chrom", "tile", F.rpad(F.concat(lead, F.array_join("_x._p", "")), width + 2 * margin, " ").alias("bases"))
+
+
 def fastq_quality(spark: SparkSession, path: str) -> DataFrame:
     """Reads, bases, mean length, GC and Q30 percentages of FASTQ records in one row.
 

@@ -7,7 +7,9 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators import context, ordering, overlap, peptides, testing, traces
+from strandline.operators import cells, context, ordering, overlap, peptides, testing, traces
+
+from strandline.sources import text
 
 
 def _hot(spark, n=600):
@@ -90,6 +92,40 @@ def test_context_channels_and_like_ends(spark):
     assert calls.select(context.reverse_complement(F.lit("AACGN")).alias("x")).first().x == "NCGTT"
 
 
+def test_tiles_from_long_lines_match_those_from_whole_sequences(spark, tmp_path):
+    rng = random.Random(6)
+    sequences = {n: "".join(rng.choices("ACGTn", k=k)) for n, k in (("1", 300), ("2", 7), ("X", 128))}
+    body = "".join(f">{n} about\n" + "\n".join(s[i : i + 11] for i in range(0, len(s), 11)) + "\n" for n, s in sequences.items())
+    (tmp_path / "a.fa").write_text(body)
+    frame = spark.createDataFrame([(n, s.upper()) for n, s in sequences.items()], "name string, sequence string")
+    for width, margin in ((16, 4), (64, 8), (7, 20)):
+        want = {(r.chrom, r.tile): r.bases for r in context.sequence_tiles(frame, width=width, margin=margin).collect()}
+        got = {(r.chrom, r.tile): r.bases for r in text.read_fasta_tiles(spark, str(tmp_path / "a.fa"), width=width, margin=margin).collect()}
+        assert got == want
+    assert {r.chrom for r in text.read_fasta_tiles(spark, str(tmp_path / "a.fa"), width=16, margin=4, names=["X"]).collect()} == {"X"}
+
+
+def test_projected_and_local_neighbours(spark):
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(300)] + [(300, None), (301, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    true = {(r.id, r.neighbour): r.distance for r in cells.nearest_neighbours(df.filter("id < 300"), df, key="id", vector="v", k=5).collect()}
+    found = cells.projected_neighbours(df, key="id", vector="v", k=5, width=5, projections=20, reach=15).collect()
+    hits = [abs(true[(r.id, r.neighbour)] - r.distance) < 1e-9 for r in found if (r.id, r.neighbour) in true]
+    assert all(hits) and len(hits) >= 0.9 * len(true)
+    near = spark.createDataFrame([(1, j, float(j)) for j in range(1, 9)], "id long, neighbour long, distance double")
+    weights = sorted(r.weight for r in cells.local_weights(near, key="id").collect())
+    assert abs(sum(weights) - 3) < 1e-4 and weights[-1] == 1.0
+
+
+def test_peaks_from_coverage(spark):
+    tags = spark.createDataFrame([("1", 1000 + i % 40, False) for i in range(60)] + [("1", 100 * i, True) for i in range(100)], "chrom string, at long, rev boolean")
+    lengths = spark.createDataFrame([("1", 10_000), ("2", 10_000)], "chrom string, length long")
+    (peak,) = overlap.call_peaks(tags, lengths, start="at", is_reverse=F.col("rev"), extend=1, least=10.0).collect()
+    assert (peak.chrom, peak.summit) == ("1", 900) and peak.start_pos == 900 and peak.end_pos == 1300 and peak.height == 62
+    assert overlap.call_peaks(tags.limit(0), lengths, start="at", is_reverse=F.col("rev")).count() == 0
+
+
 def test_leading_genes(spark):
     ranked = spark.createDataFrame([(f"g{i}", i) for i in range(1, 11)], "gene string, rank long")
     sets = spark.createDataFrame([("top", "g1"), ("top", "g2"), ("top", "g9"), ("low", "g9"), ("low", "g10")], "k string, gene string")
