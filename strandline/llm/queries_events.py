@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.distinct import bitmaps_of, count_bitmaps, encode_ids, merge_bitmaps, shared_bitmaps
-from strandline.llm.percentiles import quantile_sketches, sketch_quantile
+from strandline.llm.percentiles import merge_sketches, quantile_sketches, sketch_quantile
 from strandline.llm.runs import collapse_runs
 from strandline.session import checkpointed
 from strandline.tables import canonical_chrom, canonical_chrom_sql, table
@@ -159,6 +159,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.join(medians, ["entity", "measure"]).filter(off | F.isnan("_reported")).select("entity", "measure").distinct()
 
 
+def p6_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles and the ninetieth percentile of the peak widths of each run, from sketches
+    of its chromosomes that are merged."""
+    peaks = table(spark, sf_dir, "called_peaks").select("peak_id", "run_id", canonical_chrom("chrom").alias("chrom"), (F.col("end_pos") - F.col("start_pos")).alias("width")).distinct()
+    parts = quantile_sketches(peaks.filter("width > 0"), dims=["run_id", "chrom"], value="width")
+    return merge_sketches(parts, ["run_id"]).select("run_id", "n", *[sketch_quantile(q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9)])
+
+
+P6_QUARTILES_SQL = f"""
+WITH peaks AS (SELECT DISTINCT peak_id, run_id, {canonical_chrom_sql("chrom")} AS chrom, end_pos - start_pos AS width FROM called_peaks),
+o AS (SELECT run_id, list_sort(list(CAST(width AS DOUBLE))) AS v, count(*) AS n FROM peaks WHERE width > 0 GROUP BY run_id)
+SELECT run_id, n, {", ".join(f"(v[CAST(ceil({q} * n) AS BIGINT)] + v[least(n, CAST(floor({q} * n) AS BIGINT) + 1)]) / 2 AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75, 0.9))} FROM o
+"""
 P6_SQL = """
 WITH peaks AS (SELECT DISTINCT peak_id, run_id, start_pos, end_pos, fold_enrichment FROM called_peaks),
 genes AS (SELECT DISTINCT batch_id, gene_id, samples FROM gene_expr),
@@ -175,5 +188,5 @@ SELECT DISTINCT entity, measure FROM reports JOIN medians USING (entity, measure
 WHERE reported IS NOT NULL AND abs(reported - truth) > 0.05 * abs(truth)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_positions": p5_positions, "p5_shared": p5_shared, "p6_found": p6_found}
-SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p5_found": P5_SQL, "p5_positions": P5_POSITIONS_SQL, "p5_shared": P5_SHARED_SQL, "p6_found": P6_SQL}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_positions": p5_positions, "p5_shared": p5_shared, "p6_found": p6_found, "p6_quartiles": p6_quartiles}
+SQL = {"p1_found": P1_SQL, "p1_runs": P1_RUNS_SQL, "p5_found": P5_SQL, "p5_positions": P5_POSITIONS_SQL, "p5_shared": P5_SHARED_SQL, "p6_found": P6_SQL, "p6_quartiles": P6_QUARTILES_SQL}
