@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.functions.stats import normal_two_sided
-from strandline.operators.ordering import mid_ranks
+from strandline.functions.stats import cosine, normal_two_sided
+from strandline.operators.ordering import mid_ranks, numbered
 from strandline.operators.testing import adjust_p_values
 
 
@@ -100,3 +100,20 @@ def spatial_weights(neighbours: DataFrame, *, key: str) -> DataFrame:
     """Directed weights of a neighbour table, those of each row adding up to one: src, dst, weight."""
     n = F.count("*").over(W.partitionBy(key))
     return neighbours.select(F.col(key).alias("src"), F.col("neighbour").alias("dst"), (1 / n).alias("weight"))
+
+
+def velocity_graph(neighbours: DataFrame, states: DataFrame, *, key: str, position: str, velocity: str) -> DataFrame:
+    """How well each row's velocity points to each of its neighbours: key, neighbour, ``cosine``.
+
+    ``states``: key, ``position``, ``velocity`` (arrays of one length); the cosine is that
+    of the velocity and the way to the neighbour, 0 where one has no length.
+    """
+    own = states.select(key, F.col(position).alias("_x"), F.col(velocity).alias("_v"))
+    other = states.select(F.col(key).alias("neighbour"), F.col(position).alias("_y"))
+    way = F.zip_with("_y", "_x", lambda y, x: y.cast("double") - x.cast("double"))
+    return neighbours.select(key, "neighbour").join(own, key).join(other, "neighbour").select(key, "neighbour", cosine(F.col("_v"), way).alias("cosine"))
+
+
+def kept_cells(judged: DataFrame, *, cell: str, passes: str) -> DataFrame:
+    """Cells that pass, numbered from 0 in the order of their names: cell, ``number``."""
+    return numbered(judged.filter(F.col(passes)).select(cell), [], [cell]).select(cell, F.col("_i").alias("number"))

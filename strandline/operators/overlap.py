@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandline.functions.stats import poisson_log10_tail
 from strandline.operators.intervals import BLOCK_WIDTH, periods_and_gaps
 from strandline.operators.ordering import BLOCK_ROWS, in_blocks, numbered, running
+from strandline.session import checkpointed
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", left_span: tuple[str, str], right_span: tuple[str, str], bin_width: int = 1 << 17, how: str = "inner") -> DataFrame:
@@ -163,3 +164,32 @@ def call_peaks(tags: DataFrame, lengths: DataFrame, *, start: str, is_reverse: C
     ends = F.when(F.col("_to") > last, F.col("length")).otherwise(F.col("_to") * half + window)
     peaks = runs.select("chrom", (F.col("_from") * half).alias("start_pos"), ends.alias("end_pos"), (F.col("_best") * half).alias("summit"), "height", "score", "fold")
     return merge_keeping_best(peaks, entity=["chrom"], start="start_pos", end="end_pos", best="height", keep=["summit", "score", "fold"]).drop("n_merged")
+
+
+def merge_small(df: DataFrame, *, entity: list[str], start: str, end: str, size: str, least: int) -> DataFrame:
+    """Segments in order of ``start``, those of a ``size`` below ``least`` merged until none is left.
+
+    In each pass, from the left, a small segment takes in the next one, whatever that
+    is, and the last one of its entity goes to the one before it. So of small
+    segments in a row the first, third, ... take in their neighbours: a pass is a
+    matter of places in such rows, and its groups are running sums. An entity that is
+    small as a whole stays one segment. Result: entity, ``start``, ``end``, ``size``.
+    """
+    rows = df.select(*entity, F.col(start).alias("_s"), F.col(end).alias("_f"), F.col(size).cast("long").alias("_n"))
+    while True:
+        placed = numbered(rows, entity, ["_s", "_f"])
+        small = F.col("_n") < least
+        # A small segment's place in its row of small ones: its number less that of the last large one.
+        with_last = running(placed, entity, F.when(~small, F.col("_i")), "_large", F.max)
+        place = F.col("_i") - F.coalesce("_large", F.lit(-1)) - 1
+        both = in_blocks(with_last.withColumn("_takes", small & (place % 2 == 0)), before=1, after=1)
+        along = W.partitionBy(*entity, "_b").orderBy("_i")
+        ahead, behind = F.lead("_i").over(along).isNotNull(), F.coalesce(F.lag("_takes").over(along), F.lit(False))
+        opens = ~behind & (ahead | ~small | (F.col("_i") == 0))
+        flagged = both.withColumn("_open", opens.cast("int")).filter("_own").drop("_b", "_own")
+        grouped = running(flagged, entity, F.col("_open"), "_g").groupBy(*entity, "_g").agg(F.min("_s").alias("_s"), F.max("_f").alias("_f"), F.sum("_n").alias("_n"), F.count("*").alias("_m"))
+        rows = checkpointed(grouped)
+        moved = rows.filter("_m > 1").isEmpty()
+        rows = rows.drop("_g", "_m")
+        if moved:
+            return rows.select(*entity, F.col("_s").alias(start), F.col("_f").alias(end), F.col("_n").alias(size))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandline.functions.stats import cosine
 from strandline.operators import cells, clusters, graphs
 from strandline.plans.model_queries import _EDGES_SQL, _edges
-from strandline.plans.statistics_queries import _COUNTS, _ERFC, _counts
+from strandline.plans.statistics_queries import _COUNTS, _ERFC, _counts, cell_quality
+from strandline.plans.statistics_queries import SQL as _STATISTICS
 from strandline.tables import table
 
 #: Random orders and their reach for the vectors' approximate neighbours.
@@ -108,6 +109,21 @@ def label_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(centres, "label").select("vec_id", F.round(cosine(F.col("embedding"), F.col("centre")), 5).alias("cosine"))
 
 
+def pull_to_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the way to the mean of its label agrees with that to each vector's three nearest."""
+    rows = table(spark, sf_dir, "embeddings")
+    means = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("_c")).select("label", F.col("_c.m").alias("centre"))
+    states = rows.join(centres, "label").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.zip_with("centre", F.col("embedding"), lambda c, x: c - x.cast("double")).alias("v"))
+    near = cells.nearest_neighbours(rows, rows, key="vec_id", vector="embedding", k=3)
+    return clusters.velocity_graph(near, states, key="vec_id", position="x", velocity="v").select("vec_id", "neighbour", F.round("cosine", 5).alias("cosine"))
+
+
+def kept_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of good quality, numbered anew."""
+    return clusters.kept_cells(cell_quality(spark, sf_dir), cell="user_id", passes="passes")
+
+
 def event_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views over clicks of each k div 10: the steady ratio and the users' distance from it."""
     k = F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("int")
@@ -118,7 +134,7 @@ def event_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "k", F.round("gamma", 5).alias("gamma"), F.round("fit", 4).alias("fit"), F.round("velocity", 4).alias("velocity"))
 
 
-QUERIES = {f.__name__: f for f in (cluster_markers, top_markers, cluster_talk, significant_talk, label_graph, numbered_labels, spatial_autocorrelation, autocorrelation_test, local_weight_sums, projected_recall, label_cosines, event_velocity)}
+QUERIES = {f.__name__: f for f in (cluster_markers, top_markers, cluster_talk, significant_talk, label_graph, numbered_labels, spatial_autocorrelation, autocorrelation_test, local_weight_sums, projected_recall, label_cosines, pull_to_label, kept_cells, event_velocity)}
 _LABELS = f"""{_COUNTS}, e AS (SELECT user_id, event_type, sum(n) AS m FROM counts GROUP BY user_id, event_type), k AS (SELECT user_id, arg_max(event_type, (m, event_type)) AS cluster FROM e GROUP BY user_id)"""
 _MARKERS = f"""WITH {_LABELS}, f AS (SELECT feature, user_id, sum(n) AS n FROM counts GROUP BY ALL), d AS (SELECT x.feature, k.user_id, k.cluster, coalesce(f.n, 0) AS n FROM (SELECT DISTINCT feature FROM f) x CROSS JOIN k LEFT JOIN f ON f.feature = x.feature AND f.user_id = k.user_id),
   r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY n) + (count(*) OVER (PARTITION BY feature, n) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY feature) AS cells FROM d),
@@ -155,6 +171,11 @@ SQL = {
     "projected_recall": "SELECT 10 * count(*) AS n_true, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
     "label_cosines": """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i), c AS (SELECT label, list(m ORDER BY i) AS centre FROM m GROUP BY label)
       SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre), 5) AS cosine FROM embeddings JOIN c USING (label)""",
+    "pull_to_label": _NEAR.replace("<= 5)", "<= 3)")
+    + """m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) q(i) GROUP BY label, i), c AS (SELECT label, list(m ORDER BY i) AS centre FROM m GROUP BY label),
+      s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, list_transform(list_zip(centre, CAST(embedding AS DOUBLE[])), lambda z: z[1] - z[2]) AS v FROM embeddings JOIN c USING (label))
+      SELECT r.a AS vec_id, r.b AS neighbour, round(list_cosine_similarity(s.v, list_transform(list_zip(o.x, s.x), lambda z: z[1] - z[2])), 5) AS cosine FROM r JOIN s ON s.vec_id = r.a JOIN s o ON o.vec_id = r.b""",
+    "kept_cells": f"SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS number FROM ({_STATISTICS['cell_quality']}) WHERE passes",
     "event_velocity": """WITH c AS (SELECT user_id, CAST(json_extract(props, '$.k') AS INTEGER) // 10 AS k, count(*) FILTER (event_type = 'view') AS s, count(*) FILTER (event_type = 'click') AS u FROM events WHERE user_id IS NOT NULL AND json_extract(props, '$.k') IS NOT NULL GROUP BY ALL),
       n AS (SELECT count(DISTINCT user_id) AS cells FROM c), q AS (SELECT k, quantile_cont(u::DOUBLE, 0.95) AS cut FROM c WHERE u > 0 GROUP BY k),
       g AS (SELECT c.k, median(s / u) AS gamma FROM c JOIN q ON q.k = c.k WHERE u > 0 AND u >= cut GROUP BY c.k), v AS (SELECT c.*, gamma, s - gamma * u AS v FROM c JOIN g ON g.k = c.k),

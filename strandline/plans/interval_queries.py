@@ -10,6 +10,8 @@ from strandline.operators import overlap as O
 from strandline.operators.intervals import periods_and_gaps
 from strandline.plans.views import CALLS, GENES, PEAKS, SEGMENTS, calls, genes, peaks, segments
 
+#: Bases below which a segment is merged with its neighbour.
+SMALL = 2_000_000
 _GENE_SPAN = ("gene_start", "gene_end")
 
 
@@ -121,6 +123,14 @@ def ratio_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.change_points(rows, entity=["profile_id", "chrom"], order=["start_pos", "segment_id"], value="log2_ratio")
 
 
+def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of each profile's chromosome of less than two megabases merged with their neighbours."""
+    rows = segments(spark, sf_dir).filter(F.col("chrom").isNotNull() & F.col("profile_id").isNotNull()).select("profile_id", "chrom", "segment_id", "start_pos", "end_pos")
+    sized = rows.groupBy("profile_id", "chrom", "start_pos", "end_pos").agg((F.max("end_pos") - F.max("start_pos")).alias("size"))
+    found = O.merge_small(sized, entity=["profile_id", "chrom"], start="start_pos", end="end_pos", size="size", least=SMALL)
+    return found.groupBy("profile_id", "chrom").agg(F.count("*").alias("n_segments"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum(F.col("start_pos") % 1009).alias("starts"))
+
+
 def copy_number_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, altered part and length-weighted ploidy of each profile."""
     return C.summarize_segments(segments(spark, sf_dir), ["profile_id"])
@@ -154,6 +164,7 @@ QUERIES = {
         call_clusters,
         frequency_regions,
         ratio_change_points,
+        merged_segments,
         copy_number_by_profile,
         copy_number_classes,
         copy_number_drivers,
@@ -175,7 +186,23 @@ def _merged_sql(source: str, entity: str, out: str) -> str:
 _CN = """CASE WHEN copy_number < 0.5 THEN 'homdel' WHEN copy_number < 1.5 THEN 'hetdel' WHEN copy_number < 2.5 THEN 'diploid' WHEN copy_number < 4.5 THEN 'lowamp' WHEN copy_number IS NOT NULL THEN 'highamp' END"""
 _SITES = "sites AS (SELECT DISTINCT sample_id, chrom, pos FROM calls WHERE sample_id IS NOT NULL AND chrom IS NOT NULL AND pos IS NOT NULL)"
 _ERFC = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x)"
+
+
+def _merge_pass(n: int) -> str:
+    """One pass of merging small segments: ``m{n}`` to ``m{n + 1}``."""
+    w = "PARTITION BY profile_id, chrom ORDER BY s, f"
+    return f"""a{n} AS (SELECT *, row_number() OVER ({w}) - 1 AS i, size < {SMALL} AS small FROM m{n}),
+      b{n} AS (SELECT *, coalesce(max(CASE WHEN NOT small THEN i END) OVER ({w} ROWS UNBOUNDED PRECEDING), -1) AS big FROM a{n}),
+      c{n} AS (SELECT *, small AND (i - big - 1) % 2 = 0 AS takes FROM b{n}),
+      d{n} AS (SELECT *, NOT coalesce(lag(takes) OVER ({w}), false) AND (lead(i) OVER ({w}) IS NOT NULL OR NOT small OR i = 0) AS opens FROM c{n}),
+      e{n} AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS g FROM d{n}),
+      m{n + 1} AS (SELECT profile_id, chrom, min(s) AS s, max(f) AS f, sum(size) AS size FROM e{n} GROUP BY profile_id, chrom, g)"""
+
+
 SQL = {
+    "merged_segments": f"""WITH {SEGMENTS}, m0 AS (SELECT DISTINCT profile_id, chrom, start_pos AS s, end_pos AS f, end_pos - start_pos AS size FROM segments WHERE chrom IS NOT NULL AND profile_id IS NOT NULL),
+      {", ".join(_merge_pass(n) for n in range(8))}
+      SELECT profile_id, chrom, count(*) AS n_segments, CAST(min(size) AS BIGINT) AS least, CAST(max(size) AS BIGINT) AS most, CAST(sum(s % 1009) AS BIGINT) AS starts FROM m8 GROUP BY profile_id, chrom""",
     "covered_peaks": f"""WITH {CALLS}, t AS (SELECT chrom, CAST(floor(pos / 1000) AS BIGINT) AS a FROM calls WHERE chrom IS NOT NULL AND pos >= 0), l AS (SELECT chrom, max(a) + 50 AS length FROM t GROUP BY chrom),
       c AS (SELECT chrom, a // 100 AS k, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT (SELECT count(*) FROM t) / (SELECT sum(length) FROM l) * 200 AS rate),
       w AS (SELECT c.chrom, length, k - d AS w, sum(n) AS n FROM c JOIN l USING (chrom), (SELECT unnest([0, 1]) AS d) WHERE k - d >= 0 AND (k - d) * 100 + 200 <= length GROUP BY ALL),

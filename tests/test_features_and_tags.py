@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import features, graphs, reads
+from strandline.operators import clusters, features, graphs, overlap, reads
 
 
 def test_traces_and_bounds(spark):
@@ -69,3 +69,44 @@ def test_random_placements(spark):
     noise = spark.createDataFrame([(i, rng.random()) for i in range(40)], "id long, v double")
     assert graphs.moran_permutations(edges, noise, node="id", value="v", permutations=19).first().p > 0.05
     assert math.isclose(graphs.moran_permutations(edges, noise.withColumn("v", F.lit(1.0)), node="id", value="v", permutations=19).first().p, 1.0)
+
+
+def _merged(sizes, least):
+    """Passes from the left over (first, size) until nothing is small."""
+    rows = [(i, n) for i, n in enumerate(sizes)]
+    changed = True
+    while changed:
+        changed, out, j = False, [], 0
+        while j < len(rows):
+            if rows[j][1] < least and j + 1 < len(rows):
+                out.append((rows[j][0], rows[j][1] + rows[j + 1][1]))
+                changed, j = True, j + 2
+            elif rows[j][1] < least and out:
+                out[-1] = (out[-1][0], out[-1][1] + rows[j][1])
+                changed, j = True, j + 1
+            else:
+                out.append(rows[j])
+                j += 1
+        rows = out
+    return rows
+
+
+def test_small_segments_merge_pass_by_pass(spark):
+    rng = random.Random(3)
+    entities = {f"e{k}": [rng.choice([1, 1, 2, 3, 9]) for _ in range(rng.randint(1, 30))] for k in range(12)}
+    rows = [(e, i, i + 1, n) for e, sizes in entities.items() for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "e string, s long, f long, n long")
+    got = {}
+    for r in overlap.merge_small(df, entity=["e"], start="s", end="f", size="n", least=4).orderBy("e", "s").collect():
+        got.setdefault(r.e, []).append((r.s, r.n))
+    assert got == {e: _merged(sizes, 4) for e, sizes in entities.items()}
+    assert overlap.merge_small(df.limit(0), entity=["e"], start="s", end="f", size="n", least=4).count() == 0
+
+
+def test_velocity_graph_and_kept_cells(spark):
+    states = spark.createDataFrame([(1, [0.0, 0.0], [1.0, 0.0]), (2, [2.0, 0.0], [0.0, 0.0]), (3, [0.0, -5.0], [0.0, 1.0])], "id long, x array<double>, v array<double>")
+    near = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (3, 1)], "id long, neighbour long")
+    got = {(r.id, r.neighbour): round(r.cosine, 6) for r in clusters.velocity_graph(near, states, key="id", position="x", velocity="v").collect()}
+    assert got == {(1, 2): 1.0, (1, 3): 0.0, (2, 1): 0.0, (3, 1): 1.0}
+    judged = spark.createDataFrame([("c", True), ("a", True), ("b", False)], "cell string, ok boolean")
+    assert {(r.cell, r.number) for r in clusters.kept_cells(judged, cell="cell", passes="ok").collect()} == {("a", 0), ("c", 1)}
