@@ -86,7 +86,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, *, key: str, budget: float
         .filter(F.col("_of_source") <= F.col("_budget"))
         .withColumn("_finish", F.col("_of_source") / F.col("_share"))
         # Time runs as fast as the total, or slower once a source is dry.
-        .withColumn("_slot", F.least(F.floor(F.col("_finish") * buckets / F.col("_budget")), F.lit(1 << 30)).cast("int"))
+        .withColumn("_slot", F.floor(F.col("_finish") * buckets / F.col("_budget")))
     )
     slots = queued.groupBy("_slot").agg(F.sum("_size").alias("_sum"))
     ahead = slots.select("_slot", F.coalesce(F.sum("_sum").over(W.partitionBy(F.lit(0)).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
