@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.session import checkpointed, shuffle_partitions
+from strandline.session import checkpointed
 
 #: Rows of a block of an entity's order.
 BLOCK_ROWS = 100_000
@@ -30,7 +30,7 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 def numbered(df: DataFrame, entity: list[str], order: list[str]) -> DataFrame:
     """Rows with ``_i``, their number from 0 within their entity in the order (which must tell rows apart)."""
-    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *entity, *order)
+    ranged = df.repartitionByRange(*entity, *order)
     placed = checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy(*entity, "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*entity).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
