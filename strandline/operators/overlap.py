@@ -7,14 +7,21 @@ a margin of what follows, so a chromosome is never one task's work.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.stats import poisson_log10_tail
 from strandline.operators.intervals import BLOCK_WIDTH, periods_and_gaps
-from strandline.operators.ordering import BLOCK_ROWS, in_blocks, numbered, running
-from strandline.session import checkpointed
+from strandline.operators.ordering import BLOCK_ROWS, _joined, in_blocks, numbered, running
+from strandline.session import checkpoint_dir, checkpointed
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, on: str = "chrom", left_span: tuple[str, str], right_span: tuple[str, str], bin_width: int = 1 << 17, how: str = "inner") -> DataFrame:
@@ -166,7 +173,75 @@ def call_peaks(tags: DataFrame, lengths: DataFrame, *, start: str, is_reverse: C
     return merge_keeping_best(peaks, entity=["chrom"], start="start_pos", end="end_pos", best="height", keep=["summit", "score", "fold"]).drop("n_merged")
 
 
-def merge_small(df: DataFrame, *, entity: list[str], start: str, end: str, size: str, least: int) -> DataFrame:
+def _merge_pass(rows: DataFrame, entity: list[str], least: int) -> DataFrame:
+    """One pass of ``merge_small`` over entities of any size."""
+    placed = numbered(rows, entity, ["_s", "_f"])
+    small = F.coalesce(F.col("_n") < least, F.lit(False))
+    # A small segment's place in its row of small ones: its number less that of the last large one.
+    with_last = running(placed, entity, F.when(~small, F.col("_i")), "_large", F.max)
+    place = F.col("_i") - F.coalesce("_large", F.lit(-1)) - 1
+    both = in_blocks(with_last.withColumn("_takes", small & (place % 2 == 0)), before=1, after=1)
+    along = W.partitionBy(*entity, "_b").orderBy("_i")
+    ahead, behind = F.lead("_i").over(along).isNotNull(), F.coalesce(F.lag("_takes").over(along), F.lit(False))
+    opens = ~behind & (ahead | ~small | (F.col("_i") == 0))
+    flagged = both.withColumn("_open", opens.cast("int")).filter("_own").drop("_b", "_own")
+    return running(flagged, entity, F.col("_open"), "_g").groupBy(*entity, "_g").agg(F.min("_s").alias("_s"), F.max("_f").alias("_f"), F.sum("_n").alias("_n")).drop("_g")
+
+
+def _merged_places(first: np.ndarray, n: np.ndarray, known: np.ndarray, least: int) -> np.ndarray:
+    """The segment each row ends up in after all passes; ``first``: where an entity
+    begins, ``known``: where there is a size (a segment without one is not small)."""
+    of = np.arange(len(n))
+    while True:
+        at, small = np.arange(len(n)), (n < least) & known
+        start = np.maximum.accumulate(np.where(first, at, 0))
+        large = np.maximum(np.maximum.accumulate(np.where(small, -1, at)), start - 1)
+        takes = small & ((at - large - 1) % 2 == 0)
+        last = np.append(first[1:], True)
+        opens = first | (~np.append(False, takes[:-1]) & (~last | ~small))
+        if opens.all():
+            return of
+        of = (np.cumsum(opens) - 1)[of]
+        n, known, first = np.add.reduceat(n, np.flatnonzero(opens)), np.logical_or.reduceat(known, np.flatnonzero(opens)), first[opens]
+
+
+def _merge_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order, ``_r`` 1 where an entity begins, with the segment ``_g`` of their entity instead."""
+
+    def settled(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        sizes = rows.column("_n")
+        groups = _merged_places(rows.column("_r").to_numpy() == 1, sizes.fill_null(0).to_numpy(), sizes.is_valid().to_numpy(), least)
+        return rows.drop_columns(["_r"]).append_column("_g", pa.array(groups, pa.int64())).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        begun = np.flatnonzero(batch.column("_r").to_numpy(zero_copy_only=False) == 1)
+        if not len(begun):
+            held.append(batch)
+            continue
+        # What an entity still lacks comes with the next batch.
+        if held or begun[-1]:
+            yield from settled([*held, batch.slice(0, int(begun[-1]))])
+        held = [batch.slice(int(begun[-1]))]
+    if sum(len(b) for b in held):
+        yield from settled(held)
+
+
+def _without(rows: DataFrame, entities: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of all other entities; nulls match."""
+    renamed = entities.select(*[F.col(c).alias(f"_on_{c}") for c in on])
+    return rows.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]), "left_anti")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, with its own size as its only statistics."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def merge_small(df: DataFrame, *, entity: list[str], start: str, end: str, size: str, least: int, block: int = BLOCK_ROWS) -> DataFrame:
     """Segments in order of ``start``, those of a ``size`` below ``least`` merged until none is left.
 
     In each pass, from the left, a small segment takes in the next one, whatever that
@@ -174,22 +249,24 @@ def merge_small(df: DataFrame, *, entity: list[str], start: str, end: str, size:
     segments in a row the first, third, ... take in their neighbours: a pass is a
     matter of places in such rows, and its groups are running sums. An entity that is
     small as a whole stays one segment. Result: entity, ``start``, ``end``, ``size``.
+
+    An entity of up to ``block`` rows goes through all its passes in one task. Larger
+    ones go through passes in blocks until they have no more rows than that, each
+    written as a table: a checkpoint keeps the estimated size of the joins before it,
+    a product of products that takes the driver's memory after some passes.
     """
-    rows = df.select(*entity, F.col(start).alias("_s"), F.col(end).alias("_f"), F.col(size).cast("long").alias("_n"))
+    rows = _written(df.select(*entity, F.col(start).alias("_s"), F.col(end).alias("_f"), F.col(size).cast("long").alias("_n")), "segments")
+    within, done = [], []
     while True:
-        placed = numbered(rows, entity, ["_s", "_f"])
-        small = F.col("_n") < least
-        # A small segment's place in its row of small ones: its number less that of the last large one.
-        with_last = running(placed, entity, F.when(~small, F.col("_i")), "_large", F.max)
-        place = F.col("_i") - F.coalesce("_large", F.lit(-1)) - 1
-        both = in_blocks(with_last.withColumn("_takes", small & (place % 2 == 0)), before=1, after=1)
-        along = W.partitionBy(*entity, "_b").orderBy("_i")
-        ahead, behind = F.lead("_i").over(along).isNotNull(), F.coalesce(F.lag("_takes").over(along), F.lit(False))
-        opens = ~behind & (ahead | ~small | (F.col("_i") == 0))
-        flagged = both.withColumn("_open", opens.cast("int")).filter("_own").drop("_b", "_own")
-        grouped = running(flagged, entity, F.col("_open"), "_g").groupBy(*entity, "_g").agg(F.min("_s").alias("_s"), F.max("_f").alias("_f"), F.sum("_n").alias("_n"), F.count("*").alias("_m"))
-        rows = checkpointed(grouped)
-        moved = rows.filter("_m > 1").isEmpty()
-        rows = rows.drop("_g", "_m")
-        if moved:
-            return rows.select(*entity, F.col("_s").alias(start), F.col("_f").alias(end), F.col("_n").alias(size))
+        sizes = checkpointed(rows.groupBy(*entity).agg(F.count("*").alias("_rows"), F.count(F.when(F.col("_n") < least, 1)).alias("_small")).filter(F.col("_rows") > block))
+        if sizes.isEmpty():
+            within.append(rows)
+            break
+        wide = _joined(rows, sizes, entity)
+        done.append(wide.filter("_small = 0").select(rows.columns))
+        within.append(_without(rows, sizes, entity))
+        rows = _written(_merge_pass(wide.filter("_small > 0").select(rows.columns), entity, least), "segments")
+    placed = reduce(DataFrame.unionByName, within).withColumn("_r", F.row_number().over(W.partitionBy(*entity).orderBy("_s", "_f")))
+    schema = T.StructType([*(f for f in placed.schema if f.name != "_r"), T.StructField("_g", T.LongType())])
+    merged = placed.mapInArrow(partial(_merge_rows, least=least), schema).groupBy(*entity, "_g").agg(F.min("_s").alias("_s"), F.max("_f").alias("_f"), F.sum("_n").alias("_n")).drop("_g")
+    return reduce(DataFrame.unionByName, [merged, *done]).select(*entity, F.col("_s").alias(start), F.col("_f").alias(end), F.col("_n").alias(size))

@@ -103,6 +103,21 @@ def test_small_segments_merge_pass_by_pass(spark):
     assert overlap.merge_small(df.limit(0), entity=["e"], start="s", end="f", size="n", least=4).count() == 0
 
 
+def test_long_rows_of_small_segments_leave_no_growing_statistics(spark):
+    """Many passes, whole or in blocks: the same segments, and a plan of a plain size."""
+    rng = random.Random(8)
+    entities = {"long": [1] * 700, "mixed": [rng.choice([1, 2, 900]) for _ in range(60)], None: [5, 400, 1], "large": [900] * 50, "one": [1]}
+    rows = [(e, i, i + 1, n) for e, sizes in entities.items() for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "e string, s long, f long, n long").repartition(3)
+    for block in (40, 100_000):
+        merged = overlap.merge_small(df, entity=["e"], start="s", end="f", size="n", least=300, block=block)
+        assert merged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+        got = {}
+        for r in merged.orderBy("e", "s").collect():
+            got.setdefault(r.e, []).append((r.s, r.n))
+        assert got == {e: _merged(sizes, 300) for e, sizes in entities.items()}
+
+
 def test_velocity_graph_and_kept_cells(spark):
     states = spark.createDataFrame([(1, [0.0, 0.0], [1.0, 0.0]), (2, [2.0, 0.0], [0.0, 0.0]), (3, [0.0, -5.0], [0.0, 1.0])], "id long, x array<double>, v array<double>")
     near = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (3, 1)], "id long, neighbour long")
