@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.operators.peptides import fragment_ions
+from strandline.session import shuffle_partitions
+
+#: Peptides of a class that one task joins with its spectra.
+MEMBERS = 100
 
 
 def _in_window(targets: DataFrame, spectra: DataFrame, window: float) -> DataFrame:
@@ -79,10 +83,26 @@ def voted_candidates(spectra: DataFrame, peptides: DataFrame, *, spectrum: str,
     mass, ions (array). Masses meet in whole daltons, then within ``ppm`` or
     ``least``; fragments are whole daltons too, and a peak votes for every ion within
     a dalton's bins around it. Result: ``spectrum``, ``peptide``, ``votes``.
+
+    A spectrum's votes for each dalton are counted once, and looked up by the ions of
+    every class of peptides that share masses and ions; peaks are not laid out for
+    each pair. The pairs themselves are only written as the result.
     """
+    masses, ions = F.sort_array(F.collect_list("mass")).alias("_masses"), F.sort_array(F.flatten(F.collect_list(F.transform("ions", lambda m: F.floor(m))))).alias("_ions")
+    known = peptides.filter(F.col(peptide).isNotNull()).groupBy(peptide).agg(masses, ions)
+    classes = known.groupBy("_masses", "_ions").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_parts"))
+
+    peaks = spectra.repartition(spectrum, "neutral_mass").select(spectrum, "neutral_mass", F.explode("mz").alias("_mz"))
+    near = peaks.select(spectrum, "neutral_mass", F.explode(F.sequence(F.floor(F.col("_mz") - width), F.floor(F.col("_mz") + width))).alias("_ion"))
+    counted = near.groupBy(spectrum, "neutral_mass", "_ion").agg(F.count("*").alias("_n")).groupBy(spectrum, "neutral_mass").agg(F.map_from_entries(F.collect_list(F.struct("_ion", "_n"))).alias("_votes"))
     slack = F.greatest(F.col("neutral_mass") * ppm / 1e6, F.lit(least))
-    wide = spectra.select(spectrum, "neutral_mass", "mz", F.explode(F.sequence(F.floor(F.col("neutral_mass") - slack), F.floor(F.col("neutral_mass") + slack))).alias("_bin"))
-    fits = wide.join(peptides.select(peptide, "mass", F.floor("mass").alias("_bin")), "_bin").filter(F.abs(F.col("mass") - F.col("neutral_mass")) <= slack)
-    peaks = fits.select(spectrum, peptide, F.explode("mz").alias("_mz")).select(spectrum, peptide, F.explode(F.sequence(F.floor(F.col("_mz") - width), F.floor(F.col("_mz") + width))).alias("_ion"))
-    ions = peptides.select(peptide, F.explode("ions").alias("_m")).select(peptide, F.floor("_m").alias("_ion"))
-    return peaks.join(ions, [peptide, "_ion"]).groupBy(spectrum, peptide).agg(F.count("*").alias("votes")).filter(F.col("votes") >= votes)
+    wide = counted.select("*", F.explode(F.sequence(F.floor(F.col("neutral_mass") - slack), F.floor(F.col("neutral_mass") + slack))).alias("_bin"))
+    fits = wide.join(classes.select("*", F.explode("_masses").alias("_mass")).withColumn("_bin", F.floor("_mass")), "_bin").filter(F.abs(F.col("_mass") - F.col("neutral_mass")) <= slack)
+    given = F.aggregate("_ions", F.lit(0).cast("long"), lambda n, ion: n + F.coalesce(F.col("_votes")[ion], F.lit(0)))
+    pairs = fits.select(spectrum, "_masses", "_ions", "_parts", given.alias("_v")).groupBy(spectrum, "_masses", "_ions", "_parts").agg(F.sum("_v").alias("votes")).filter(F.col("votes") >= votes)
+
+    # Classes of many peptides are dealt over several tasks, however small the tables are that make so many pairs.
+    width_ = shuffle_partitions(spectra.sparkSession)
+    dealt = pairs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).repartition(width_, "_masses", "_ions", "_part")
+    members = known.join(classes, ["_masses", "_ions"]).withColumn("_part", F.pmod(F.xxhash64(peptide), F.col("_parts")).cast("int")).drop("_parts").repartition(width_, "_masses", "_ions", "_part")
+    return dealt.join(members, ["_masses", "_ions", "_part"]).select(spectrum, peptide, "votes")

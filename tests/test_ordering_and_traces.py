@@ -75,6 +75,34 @@ def test_votes(spark):
     assert [tuple(r) for r in traces.voted_candidates(spectra, known, spectrum="s", peptide="p").collect()] == [(1, "a", 2)]
 
 
+def test_votes_are_not_laid_out_peak_by_peak(spark, monkeypatch):
+    """Every pair has its votes, at any size of a class, and no stage has a row for each peak of a pair."""
+    rng = random.Random(7)
+    spectra = [(s, 1000.0 + s % 3, [float(rng.randint(100, 140)) + rng.random() for _ in range(rng.randint(0, 30))]) for s in range(40)]
+    known = [(f"p{k}", 1000.01 + k % 3, [float(100 + (k * 7 + j * 13) % 40) for j in range(4)]) for k in range(150)] + [(None, 1000.0, [100.0]), ("twice", 1000.0, [110.0]), ("twice", 1001.0, [120.0, None])]
+    ions, masses, want = {}, {}, {}
+    for p, mass, m in known:
+        ions.setdefault(p, []).extend(int(x) for x in m if x is not None)
+        masses.setdefault(p, []).append(mass)
+    for s, mass, mz in spectra:
+        for p in set(ions) - {None}:
+            fit = sum(abs(x - mass) <= 0.05 for x in masses[p])
+            n = fit * sum(abs(ion - int(x)) <= 1 for ion in ions[p] for x in mz)
+            if n >= 2:
+                want[s, p] = n
+    a, b = spark.createDataFrame(spectra, "s int, neutral_mass double, mz array<double>"), spark.createDataFrame(known, "p string, mass double, ions array<double>")
+    for members in (3, 100):
+        monkeypatch.setattr(traces, "MEMBERS", members)
+        found = traces.voted_candidates(a, b, spectrum="s", peptide="p")
+        assert {(r.s, r.p): r.votes for r in found.collect()} == want and found.count() == len(want)
+    # Peaks are counted before they meet a peptide.
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    at = next(i for i, x in enumerate(lines) if "explode(mz#" in x)
+    below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+    assert not any("Join" in x for x in lines[at:below])
+
+
 def test_context_channels_and_like_ends(spark):
     sequences = spark.createDataFrame([("1", "ACGTTTGACCAGT" * 40)], "name string, sequence string")
     rows = [("1", 2, "C", "T"), ("1", 3, "G", "A"), ("1", 1, "A", "C"), ("9", 5, "C", "T"), ("1", 7, "GACC", "G")]
