@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Window as W
@@ -69,6 +70,37 @@ def test_library_finds_its_own_spectrum(spark):
     assert found.n_fragments == 12 and abs(found.score - 0.36788) < 1e-4 and found.rt_best == 130.0
 
 
+def _subtree(df, what):
+    """Lines of the optimised plan from the first node that names ``what`` down to its leaves."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    at = next(i for i, x in enumerate(lines) if what in x)
+    return lines[at : next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))]
+
+
+def test_library_scores_match_brute_force_without_a_row_for_each_scan(spark):
+    rng = random.Random(3)
+    spectra = [(k, 7.5 * (k // 2), m := sorted(rng.choice([100.0, 100.001, 150.0, 200.0, 250.0]) + rng.choice([0, 1e-4, 0.5]) for _ in range(rng.randint(0, 5))), [rng.choice([0.0, 1.0, 4.0, 1e9]) for _ in m]) for k in range(120)]
+    kinds = [[(100.0, 1.0), (150.0, 2.0), (200.0, 0.5)], [(250.0, 1.0), (100.0005, 3.0), (150.0, 1.0), (9.0, 1.0)], [(100.0, 1.0), (100.0, 1.0), (200.0, 1.0)], [(7.0, 1.0)], []]
+    library = [(f"k{i}", float(rng.choice([rng.randint(-40, 500), 9000])), rng.choice(kinds)) for i in range(200)]
+    want = {}
+    for name, rt, fragments in library:
+        near = [s for s in spectra if abs(s[1] - rt) <= 30]
+        shown = [[max([i for m, i in zip(s[2], s[3]) if abs(m - mz) <= mz * 20 / 1e6], default=0.0) for mz, _ in fragments] for s in near]
+        x = [sum(row[j] for row in shown) for j in range(len(fragments))]
+        if sum(v > 0 for v in x) >= 2:
+            dot = sum(f[1] * v for f, v in zip(fragments, x)) / (sum(f[1] ** 2 for f in fragments) * sum(v * v for v in x)) ** 0.5
+            top = max(((sum(row), -s[1]) for s, row in zip(near, shown)))
+            if dot >= 0.5:
+                want[name] = (-top[1], sum(v > 0 for v in x), round(dot * max(math.exp(-(((-top[1] - rt) / 15) ** 2)), 0.01), 6))
+    a = spark.createDataFrame(spectra, "scan int, rt double, mz array<double>, intensity array<double>")
+    b = spark.createDataFrame(library, "k string, rt double, fragments array<struct<mz:double,intensity:double>>").repartition(3)
+    found = traces.library_scores(a, b, key="k", window=30.0, sigma=15.0, least_fragments=2)
+    assert {r.k: (r.rt_best, r.n_fragments, round(r.score, 6)) for r in found.collect()} == want and len(want) > 20
+    # Scans are not laid out for each entry: fragments meet no peaks before these are parted.
+    assert not any("arrays_zip(mz" in x or "arrays_zip(cast(mz" in x for x in _subtree(found, "posexplode("))
+
+
 def test_votes(spark):
     spectra = spark.createDataFrame([(1, 1000.0, [100.2, 250.7, 900.0])], "s int, neutral_mass double, mz array<double>")
     known = spark.createDataFrame([("a", 1000.01, [101.0, 251.0]), ("b", 1000.01, [101.0, 500.0]), ("c", 1001.0, [100.0, 250.0])], "p string, mass double, ions array<double>")
@@ -96,11 +128,7 @@ def test_votes_are_not_laid_out_peak_by_peak(spark, monkeypatch):
         found = traces.voted_candidates(a, b, spectrum="s", peptide="p")
         assert {(r.s, r.p): r.votes for r in found.collect()} == want and found.count() == len(want)
     # Peaks are counted before they meet a peptide.
-    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
-    at = next(i for i, x in enumerate(lines) if "explode(mz#" in x)
-    below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
-    assert not any("Join" in x for x in lines[at:below])
+    assert not any("Join" in x for x in _subtree(found, "explode(mz#"))
 
 
 def test_context_channels_and_like_ends(spark):
