@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from strandline.llm.encoding import TOKENIZERS, Joiner, _encode_batches, _text_bytes, cut_points, encode_corpus, encoder, token_counts
 from strandline.llm.mixing import mix_sources, reached_shares
-from strandline.llm.truncation import aligned_end, truncated
+from strandline.llm.truncation import _near_pairs, aligned_end, truncated
 
 TEXTS = [
     None,
@@ -182,6 +182,26 @@ def test_near_copies_count_whichever_is_longer(spark):
     assert {k for k, e in got.items() if e == "copy"} == expected
 
 
+def test_all_pairs_that_meet_the_threshold_are_compared(spark):
+    """Copies with changes all over, right at 0.8 of the shingles, and with a mark behind the cut."""
+    rng = random.Random(2)
+    words = [f"{a}{b}{c}" for a in ("ta", "re", "mo", "li") for b in ("nel", "vor", "dis") for c in ("a", "um", "ik", "os")]
+    rows, expected = [], set()
+    for i in range(60):
+        text = [rng.choice(words) + str(rng.randint(0, 9)) for _ in range(64)]
+        # Two to three words of 60 shingles, apart from each other: 10 to 12 shingles are gone.
+        other = [w if at not in ((9, 31) if i % 2 else (20, 40)) else "changed" for at, w in enumerate(text)] + ["goes", "on."]
+        other = ["changed" if at == 50 and w == text[0] else w for at, w in enumerate(other)]
+        if i % 3 == 0:
+            other = ["before", "it"] + [w if at != 0 else "Other" for at, w in enumerate(other)] + ["for", "longer."] * 40
+        rows += [(2 * i, " ".join(text) + ("", "…", " […]", "\u00a0")[i % 4]), (2 * i + 1, " ".join(other))]
+        expected.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame([(k, k % 2 == 0, t) for k, t in rows], "_class long, _open boolean, _text string").repartition(4)
+    got = [tuple(r) for r in _near_pairs(df).collect()]
+    assert expected <= set(got) and len(got) == len(set(got))
+    assert _near_pairs(df.limit(0)).count() == 0
+
+
 def test_endings_are_judged_by_shares(spark):
     rng = random.Random(6)
     nouns, common = ["panel", "signal", "bridge", "record"], ["garden", "library", "sample"]
