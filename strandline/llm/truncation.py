@@ -15,7 +15,6 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +39,7 @@ PAGES = (("latin-1", "utf-8"), ("cp1252", "utf-8"), ("cp1251", "utf-8"), ("koi8-
 WORDS, SIMILAR = 5, 0.8
 #: Bytes of text whose shingles one task counts.
 SHINGLED = 16_000_000
-#: Texts of a shingle that one task compares with its part of the open ends.
+#: Texts of a shingle, on either side, that are paired in one row.
 PART = 500
 #: Units with the same skeleton or closing word that make it a known one: this many a
 #: text, and in a small corpus two and one.
@@ -175,14 +174,45 @@ def _as_decoded(line: pd.Series) -> pd.Series:
 OWN, END = 1, 2
 
 
+def _packed(numbers: np.ndarray, width: int = 8) -> bytes:
+    """The lowest ``width`` bytes of numbers, all first ones first, as they compress best."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize)[:, :width].T.tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type, width: int = 8) -> np.ndarray:
+    """The numbers of all rows of a packed column."""
+    size = np.dtype(kind).itemsize
+    out = []
+    for data in column.to_pylist():
+        lowest = np.frombuffer(data, np.uint8).reshape(min(width, size), -1)
+        whole = np.zeros((lowest.shape[1], size), np.uint8)
+        whole[:, : len(lowest)] = lowest.T
+        out.append(whole.view(kind).ravel())
+    return np.concatenate(out) if out else np.zeros(0, kind)
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin that differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(new)
+
+
+def _spread(numbers: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` even ranges 32-bit numbers are in."""
+    return (numbers * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
 def _dealt_shingles(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Every different shingle of every text, dealt over ``parts`` by its hash.
 
-    A row for each batch and part: its texts' classes, the numbers of shingles that an
-    open end has in all, how many shingles are in here, these shingles, their kinds.
+    A row for each batch and part: its texts' classes, how many shingles of an open end
+    need not be looked up (all but one more than a copy may lack), how many of each text
+    are in here, these shingles (48 bits: what is alike by chance is told apart when the
+    texts are aligned), their kinds.
     """
     mix = np.uint64(0x9E3779B97F4A7C15)
-    names = ["_part", "classes", "sizes", "counts", "shingles", "kinds"]
     for batch in batches:
         classes, is_open = batch.column("_class").to_numpy(zero_copy_only=False), batch.column("_open").to_numpy(zero_copy_only=False).astype(bool)
         marked = batch.column("_body").is_valid().to_numpy(zero_copy_only=False)
@@ -207,53 +237,139 @@ def _dealt_shingles(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[p
             continue
         order = np.lexsort((h, row))
         h, row, kinds = h[order], row[order], kinds[order]
-        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
-        h, row, kinds = h[first], row[first], np.bitwise_or.reduceat(kinds, first)
-        sizes = np.bincount(row[kinds & END > 0], minlength=len(classes)).astype(np.uint32)
-        part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint32)
+        sizes = []
+        for shift in (0, 16):  # a copy may lack a share of the different shingles, looked up is what 48 bits tell apart
+            h = h >> np.uint64(shift)
+            first = _edges(h, row)
+            h, row, kinds = h[first], row[first], np.bitwise_or.reduceat(kinds, first)
+            sizes.append(np.bincount(row[kinds & END > 0], minlength=len(classes)))
+        spares = (sizes[1] - (sizes[0] - np.ceil(SIMILAR * sizes[0]).astype(np.int64) + 1)).astype(np.int32)
+        part = _spread(h >> np.uint64(16), parts)
         order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
         h, row, kinds, part = h[order], row[order], kinds[order], part[order]
-        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        out: list[list] = [[] for _ in names]
+        edges = _edges(part)
+        out = []
         for a, b in zip(edges, np.append(edges[1:], len(h))):
-            starts = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1]))
+            starts = _edges(row[a:b])
             texts = row[a:b][starts]
-            for into, value in zip(out, (int(part[a]), classes[texts].tobytes(), sizes[texts].tobytes(), np.diff(np.append(starts, b - a)).astype(np.uint32).tobytes(), h[a:b].tobytes(), kinds[a:b].tobytes())):
-                into.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=names)
-
-
-def _shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of dealt shingles, sorted by part, those that an open end and another text hold: a row for each text that does."""
-
-    def shared(rows: list[dict]) -> pa.RecordBatch:
-        whole = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-        counts = whole("counts", np.uint32)
-        text, size = np.repeat(whole("classes", np.int64), counts), np.repeat(whole("sizes", np.uint32), counts)
-        h, kind = whole("shingles", np.uint64), whole("kinds", np.uint8)
-        order = np.argsort(h)
-        for repeated in (False, True):
-            h, text, size, kind = h[order], text[order], size[order], kind[order]
-            if repeated:  # equal texts are one
-                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])))[: len(h)]
-                kind = np.bitwise_or.reduceat(kind, first) if len(h) else kind
-                h, text, size = h[first], text[first], size[first]
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))[: len(h)]
-            n = np.diff(np.append(starts, len(h)))
-            kept = np.repeat((n > 1) & (np.bitwise_or.reduceat(kind, starts) & END > 0), n) if len(h) else np.zeros(0, bool)
-            h, text, size, kind, n = h[kept], text[kept], size[kept], kind[kept], np.repeat(n, n)[kept]
-            order = np.lexsort((text, h))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), text, size.astype(np.int32), n.astype(np.int64), kind.astype(np.int32))], names=["_shingle", "_class", "_of", "_n", "_kind"])
-
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[-1]["_part"] != row["_part"]:
-                yield shared(held)
-                held = []
-            held.append(row)
-    if held:
-        yield shared(held)
+            counts = np.diff(np.append(starts, b - a)).astype(np.uint32)
+            out.append((int(part[a]), classes[texts].tobytes(), _packed(spares[texts]), _packed(counts), _packed(h[a:b], 6), kinds[a:b].tobytes()))
+        yield _rows(DEALT, out)
+
+
+#: Rows of packed numbers: shingles dealt by hash; what open ends share, dealt by text; the
+#: limits of what texts look up; texts that look up a shingle, with texts that hold it.
+DEALT = "_part int, classes binary, spares binary, counts binary, shingles binary, kinds binary"
+SHARED = "_bucket int, _part int, classes binary, spares binary, counts binary, ns binary, times binary"
+LIMITS = "_part int, classes binary, limits binary"
+BLOCKS = "_shingle long, _block int, _texts array<long>, _partners array<long>"
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split(" ") for x in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(x, {"int": pa.int32(), "binary": pa.binary()}[kind]) for x, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
+
+
+def _shared_shingles(dealt: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a part's shingles those that an open end and another text hold, sorted, one row for
+    each text that does: shingle, class, how many need not be looked up, number of texts, kind."""
+    counts = _unpacked(dealt.column("counts"), np.uint32)
+    text = np.repeat(np.frombuffer(b"".join(dealt.column("classes").to_pylist()), np.uint64), counts)
+    spare = np.repeat(_unpacked(dealt.column("spares"), np.int32), counts)
+    h, kind = _unpacked(dealt.column("shingles"), np.uint64, 6), np.frombuffer(b"".join(dealt.column("kinds").to_pylist()), np.uint8)
+    order = np.argsort(h)
+    for repeated in (False, True):
+        h, text, spare, kind = h[order], text[order], spare[order], kind[order]
+        if repeated and len(h):  # equal texts are one
+            first = _edges(h, text)
+            h, text, spare, kind = h[first], text[first], spare[first], np.bitwise_or.reduceat(kind, first)
+        starts = _edges(h)
+        n = np.diff(np.append(starts, len(h)))
+        kept = np.repeat((n > 1) & (np.bitwise_or.reduceat(kind, starts) & END > 0), n) if len(h) else np.zeros(0, bool)
+        h, text, spare, kind, n = h[kept], text[kept], spare[kept], kind[kept], np.repeat(n, n)[kept]
+        order = np.lexsort((text, h))
+    return h, text, spare, n.astype(np.uint32), kind
+
+
+def _shared_by_text(dealt: pa.Table, parts: int) -> pa.Table:
+    """Of a part, how many shingles each open end shares with how many texts, dealt by text."""
+    _, text, spare, n, kind = _shared_shingles(dealt)
+    end = kind & END > 0
+    text, spare, n = text[end], spare[end], n[end]
+    order = np.lexsort((n, text))
+    text, spare, n = text[order], spare[order], n[order]
+    first = _edges(text, n)
+    times = np.diff(np.append(first, len(text))).astype(np.uint32)
+    text, spare, n = text[first], spare[first], n[first]
+    bucket, part, out = _spread(text >> np.uint64(32), parts), dealt.column("_part")[0].as_py(), []
+    edges = _edges(bucket)
+    for a, b in zip(edges, np.append(edges[1:], len(text))):
+        starts = _edges(text[a:b])
+        counts = np.diff(np.append(starts, b - a)).astype(np.uint32)
+        out.append((int(bucket[a]), part, text[a:b][starts].tobytes(), _packed(spare[a:b][starts]), _packed(counts), _packed(n[a:b]), _packed(times[a:b])))
+    return pa.Table.from_batches([_rows(SHARED, out)])
+
+
+def _limits(shared: pa.Table) -> pa.Table:
+    """What texts look up in each part: shingles of at most so many texts. A text that shares
+    too few looks up none; others the rarest, at least one more than a copy may lack."""
+    counts = _unpacked(shared.column("counts"), np.uint32)
+    classes = [np.frombuffer(x, np.uint64) for x in shared.column("classes").to_pylist()]
+    text = np.repeat(np.concatenate(classes), counts)
+    part = np.repeat(np.repeat(shared.column("_part").to_numpy(), [len(x) for x in classes]), counts)
+    spare = np.repeat(_unpacked(shared.column("spares"), np.int32), counts)
+    n, times = _unpacked(shared.column("ns"), np.uint32), _unpacked(shared.column("times"), np.uint32).astype(np.int64)
+    order = np.lexsort((part, n, text))
+    text, part, spare, n, times = text[order], part[order], spare[order], n[order], times[order]
+    starts = _edges(text)
+    sums = np.add.reduceat(times, starts)
+    before = np.cumsum(times) - times
+    before -= np.repeat(before[starts], np.diff(np.append(starts, len(text))))
+    chosen = before < np.repeat(sums, np.diff(np.append(starts, len(text)))) - spare
+    text, part, n = text[chosen], part[chosen], n[chosen]
+    order = np.lexsort((n, text, part))
+    text, part, n = text[order], part[order], n[order]
+    last = np.append(_edges(part, text)[1:], len(text)) - 1 if len(text) else np.zeros(0, np.int64)
+    text, part, n = text[last], part[last], n[last]
+    edges = _edges(part)
+    return pa.Table.from_batches([_rows(LIMITS, [(int(part[a]), text[a:b].tobytes(), _packed(n[a:b])) for a, b in zip(edges, np.append(edges[1:], len(text)))])])
+
+
+def _slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    ends = np.cumsum(sizes)
+    places = np.arange(sizes.sum()) + np.repeat(starts - (ends - sizes), sizes)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values[places].view(np.int64)))
+
+
+def _met(dealt: pa.Table, limits: pa.Table) -> pa.Table:
+    """Blocks of texts that look up a shingle of a part, and of texts that hold it."""
+    names = [x.split(" ")[0] for x in BLOCKS.split(", ")]
+    limited = np.frombuffer(b"".join(limits.column("classes").to_pylist()), np.uint64)
+    # Parts in which nothing is looked up need no second count.
+    h, text, _, n, kind = _shared_shingles(dealt if len(limited) else dealt.slice(0, 0))
+    most = np.zeros(len(text), np.uint32)
+    if len(limited):
+        order = np.argsort(limited)
+        limited, limit = limited[order], _unpacked(limits.column("limits"), np.uint32)[order]
+        at = np.minimum(np.searchsorted(limited, text), len(limited) - 1)
+        most = np.where(limited[at] == text, limit[at], 0)
+    asks = (kind & END > 0) & (n <= most)
+    asked = np.isin(h, h[asks])
+    holds = asked & (kind & OWN > 0)
+    shingles = np.unique(h[asks])
+    starts, sizes, blocks = [], [], []
+    for those in (asks, holds):
+        starts.append(np.searchsorted(h[those], shingles))
+        sizes.append(np.searchsorted(h[those], shingles, "right") - starts[-1])
+        blocks.append(-(-sizes[-1] // PART))
+    each = blocks[0] * blocks[1]
+    of = np.repeat(np.arange(len(shingles)), each)
+    block = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+    lists = []
+    for those, start, size, number in zip((asks, holds), starts, sizes, (block // blocks[1][of], block % blocks[1][of])):
+        lists.append(_slices(text[those], start[of] + number * PART, np.minimum(size[of] - number * PART, PART)))
+    return pa.Table.from_arrays([pa.array(shingles[of].view(np.int64)), pa.array(block, pa.int32()), *lists], names=names)
 
 
 _WORD = regex.compile(r"\S+")
@@ -332,23 +448,22 @@ def _near_pairs(docs: DataFrame) -> DataFrame:
     ``docs`` has ``_class``, ``_open`` and ``_text``; equal texts are one class. A text
     that holds so many of another's shingles holds one of any set that leaves out
     fewer: so the rarest of them are looked up, one more than may be missing, and
-    nothing is lost by leaving out what everybody has, menus and notices. Shingles of
-    many texts are dealt over several tasks.
+    nothing is lost by leaving out what everybody has, menus and notices. Shingles are
+    shuffled once; back to the texts go only numbers, how many of their shingles are
+    how frequent, and from there the limits up to which each looks them up, mostly none
+    as most texts have too many shingles of their own. Pairs of a shingle of many texts
+    are dealt over several tasks.
     """
     width = shuffle_partitions(docs.sparkSession)
     parts = max(width, math.ceil((docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) / SHINGLED))
     texts = docs.select("_class", "_open", _words(F.col("_text")).alias("_words"), F.when(F.col("_open") & F.col("_text").rlike("(?U)" + MARK), _words(F.regexp_replace("_text", "(?U)" + MARK, ""))).alias("_body"))
-    dealt = texts.mapInArrow(partial(_dealt_shingles, parts=parts), "_part int, classes binary, sizes binary, counts binary, shingles binary, kinds binary")
-    counted = dealt.repartition(parts, "_part").sortWithinPartitions("_part").mapInArrow(_shared_shingles, "_shingle long, _class long, _of int, _n long, _kind int")
-    # Few shingles are shared: written once for both sides below.
-    members = checkpointed(counted.withColumn("_parts", F.ceil(F.col("_n") / PART).cast("int")))
-    ends = members.filter(F.col("_kind").bitwiseAND(END) > 0)
-    alone = F.col("_of") - F.count("*").over(W.partitionBy("_class"))
-    ends = ends.withColumn("_rank", alone + F.row_number().over(W.partitionBy("_class").orderBy("_n", "_shingle")))
-    ends = ends.filter(F.col("_rank") <= F.col("_of") - F.ceil(F.col("_of") * F.lit(SIMILAR)) + 1)
-    ends = ends.select("_shingle", "_class", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    partners = members.filter(F.col("_kind").bitwiseAND(OWN) > 0).select("_shingle", F.col("_class").alias("_partner"), F.pmod(F.xxhash64("_class"), F.col("_parts")).cast("int").alias("_part"))
-    return ends.join(partners, ["_shingle", "_part"]).filter(F.col("_class") != F.col("_partner")).select("_class", "_partner").distinct()
+    # Grouped twice by the same column: the second time Spark takes what it has shuffled already.
+    dealt = texts.mapInArrow(partial(_dealt_shingles, parts=parts), DEALT)
+    shared = dealt.groupBy("_part").applyInArrow(lambda x: _shared_by_text(x, parts), SHARED)
+    limits = shared.groupBy("_bucket").applyInArrow(_limits, LIMITS)
+    met = dealt.groupBy("_part").cogroup(limits.groupBy("_part")).applyInArrow(_met, BLOCKS)
+    pairs = met.repartition(width, "_shingle", "_block").select(F.explode("_texts").alias("_class"), "_partners").select("_class", F.explode("_partners").alias("_partner"))
+    return pairs.filter(F.col("_class") != F.col("_partner")).distinct()
 
 
 def truncated(df: DataFrame, *, key: str, text: str) -> DataFrame:

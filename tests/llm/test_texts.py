@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from tokenizers import Tokenizer
 from strandline.llm.encoding import TOKENIZERS, Joiner, _encode_batches, _text_bytes, cut_points, encode_corpus, encoder, token_counts
 from strandline.llm.mixing import mix_sources, reached_shares
 from strandline.llm.truncation import _near_pairs, aligned_end, truncated
+from strandline.session import checkpoint_dir
 
 TEXTS = [
     None,
@@ -202,6 +205,30 @@ def test_all_pairs_that_meet_the_threshold_are_compared(spark):
     assert _near_pairs(df.limit(0)).count() == 0
 
 
+def test_shingles_are_written_once(spark):
+    """Looking for near copies writes less than 2.5 times the texts, though all of their shingles are shared."""
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("ta", "re", "mo", "li") for b in ("nel", "vor", "dis") for c in ("a", "um", "ik", "os")]
+    lines = [" ".join(rng.choices(words, k=12)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(lines, k=12)) + f" text {i}") for i in range(1500)]
+    rows += [(5000 + i, rows[i][1] + " goes on.") for i in range(0, 1500, 300)]
+    df = spark.createDataFrame([(k, k < 5000, t) for k, t in rows], "_class long, _open boolean, _text string").repartition(4).localCheckpoint()
+    checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def written() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        summaries = context.statusStore().executorList(False)
+        return sum(summaries.apply(i).totalShuffleWrite() for i in range(summaries.size())) + sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+    before = written()
+    got = {tuple(r) for r in _near_pairs(df).collect()}
+    assert {(i, 5000 + i) for i in range(0, 1500, 300)} <= got
+    time.sleep(0.5)
+    assert written() - before < 2.5 * sum(len(t) for _, t in rows)
+
+
 def test_endings_are_judged_by_shares(spark):
     rng = random.Random(6)
     nouns, common = ["panel", "signal", "bridge", "record"], ["garden", "library", "sample"]
